@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import frequency, leaks, lines, lookalike, tokens
+from tesserae.llm import encoding, frequency, leaks, lines, lookalike, markup, page_pass, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,58 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.spam_pages(_pages(spark, sf_dir))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.spam_shares(_pages(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_fields(_pages(spark, sf_dir)).select("page_id", "field")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_fields(_pages(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.relabelled_pages(_pages(spark, sf_dir))
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.page_languages(_pages(spark, sf_dir))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.page_segments(_pages(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.page_lines(_pages(spark, sf_dir)).where("not body").select("page_id", "line_no")
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_pass.page_bodies(_pages(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.page_kinds(_pages(spark, sf_dir))
+
+
+def p6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.host_wrappers(_pages(spark, sf_dir))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_pages(_pages(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = frequency.marked_terms(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "postings"))
     return terms.where("mark is not null").select("origin", "term", "mark")
