@@ -47,7 +47,7 @@ _PARTS = [
     ("latex_formula", r"\\\(.{1,300}?\\\)|\\\[.{1,300}?\\\]|\$\$[^$\n]{1,300}\$\$|(?<![\w$])\$(?=[^\s$])[^$\n]{0,300}?[\\^_{}=+/<>*-][^$\n]{0,300}?(?<=[^\s$])\$(?![\w$])|(?<![\w$])\$[A-Za-z]\$(?![\w$])"),
     ("wiki_link", r"\[\[[^\[\]\n]{1,300}\]\]"),
     ("wiki_template", r"\{\{[^{}\n]{1,300}\}\}"),
-    ("wiki_table", r"^\s*(?:\{\|.*|\|\}|\|-.*)$"),
+    ("wiki_table", r"^\s*(?:\{\|.*|\|\}|\|-[^|\n]*)$"),
     ("wiki_heading", r"^\s*(={2,6})\s*[^=\s][^\n]*?(?:\1)\s*$"),
     ("wiki_quotes", r"'{2,5}[^'\n]{1,300}?'{2,5}"),
     ("markdown_fence", r"^\s*(?:```|~~~)[\w+-]*\s*$"),
