@@ -6,6 +6,7 @@ collection all the same."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -144,7 +145,7 @@ class Index:
 
     def saved(self, name: str = "index") -> Index:
         """The index written to the shared folder and read again, so that queries read postings and not texts."""
-        path = f"{shared_dir(self.docs.sparkSession)}/{name}"
+        path = f"{shared_dir(self.docs.sparkSession)}/{name}-{uuid.uuid4().hex}"
         self.save(path)
         return Index.load(self.docs.sparkSession, path)
 
