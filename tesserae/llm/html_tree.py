@@ -72,6 +72,8 @@ def parse(html: str) -> list[Block]:
                 small += n
             continue
         if m[3] is None:
+            if m[0] == "<":
+                parts.append("<")
             continue
         name = m[3].lower()
         if name in INLINE:

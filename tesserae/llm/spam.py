@@ -29,7 +29,7 @@ CLASSES = TOP + 1 + NAMES + ENDINGS  # 1024
 SMOOTH = 1e-8  # of all neighbours
 LONG_LINE, MIN_WORDS = 20, 12
 DIRECTION, DISTINCT, DISTINCT_SENTENCES, SHARE = 1.5, 0.6, 0.35, 0.5
-WORDS = re.compile(r"[^\W\d_]+|\d+")
+WORDS, LETTERS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+")
 CODE = re.compile(r"[;{}=<>\\]|\)\s*$|\w\(")
 ENDS = (".", "!", "?", "…", ":")
 WORD_BLOCK = 300_000
@@ -43,7 +43,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(WORDS.findall(text.lower()))
+            counts.update(LETTERS.findall(text.lower()))
             if len(counts) > WORD_BLOCK:
                 yield rows()
                 counts.clear()
