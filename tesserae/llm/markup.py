@@ -19,11 +19,12 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.plans.shared import shuffle_partitions
+
 # Names of elements and commands.
 ELEMENTS = (
     "a abbr article aside b big blockquote body br caption center cite code col dd del details div dl dt em figure font footer form h1 h2 h3 h4 h5 h6 "
@@ -74,7 +75,7 @@ def constructs(line: str, code: bool = False) -> list[tuple[str, int, int]]:
     found = []
     inner = WRAPPED.match(line)
     bare = inner[1] if inner else line
-    code = code or bool(CODE.search(bare if not inner else unescape(bare)))
+    code = code or bool(CODE.search(unescape(bare)))
     for m in LEXER.finditer(line):
         name = m.lastgroup if m.lastgroup != "eq" else "wiki_heading"
         if code:
@@ -82,8 +83,6 @@ def constructs(line: str, code: bool = False) -> list[tuple[str, int, int]]:
             inside = m.start() >= lo and m.end() <= hi
             if inside and name not in ("markdown_fence", "html_tag", "html_comment", "wiki_ref", "latex_command", "html_entity"):
                 continue
-            if inside and name == "html_entity" and not inner:
-                continue
         found.append((name, m.start(), m.end()))
     return found
 
@@ -214,11 +213,23 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    whole = None
-    for text in sorted(group["expression"]):
-        whole = read(text) if whole is None else aligned(whole, read(text))
-    return pd.DataFrame({"host": group["host"].iloc[:1], "construct": group["construct"].iloc[:1], "expression": [written(whole)], "lines": [group["lines"].sum()]})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All expressions of a host and construct lie in one partition: align them in a fixed order."""
+    parts: dict[tuple[str, str], list[str]] = {}
+    lines: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        for host, construct, expression, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.setdefault((host, construct), []).append(expression)
+            lines[host, construct] = lines.get((host, construct), 0) + n
+    rows = []
+    for (host, construct), texts in parts.items():
+        whole = None
+        for text in sorted(set(texts)):
+            whole = read(text) if whole is None else aligned(whole, read(text))
+        rows.append((host, construct, written(whole), lines[host, construct]))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    types = [pa.string(), pa.string(), pa.string(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "construct", "expression", "lines"])
 
 
 def _host(pages: DataFrame) -> DataFrame:
@@ -227,9 +238,10 @@ def _host(pages: DataFrame) -> DataFrame:
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, construct, expression, lines): the wrapper of each host, one expression for each construct that begins a
-    line's markup. A group holds one row for each partition of the input, whatever the number of lines."""
-    parts = _host(pages).where("content is not null").select("host", "content").mapInArrow(_wrappers, "host string, construct string, expression string, lines bigint")
-    return parts.groupBy("host", "construct").applyInPandas(_merge, "host string, construct string, expression string, lines bigint")
+    line's markup. To a host and construct each partition of the input brings one row, whatever the number of lines."""
+    ddl = "host string, construct string, expression string, lines bigint"
+    parts = _host(pages).where("content is not null").select("host", "content").mapInArrow(_wrappers, ddl)
+    return parts.repartition(shuffle_partitions(pages.sparkSession), "host", "construct").mapInArrow(_merge, ddl)
 
 
 def _page_constructs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
