@@ -22,7 +22,7 @@ from tesserae.llm.sample import LANGUAGES
 BITS = 14
 MIN_LETTERS = 12
 SENTENCES = re.compile(r"[^.!?…\n]+[.!?…]+[\"”»')]*")
-CODE = re.compile(r"[;{}=<>\\]|\w\(|^\s*SELECT ")
+CODE = re.compile(r"&&|::|;\s*$|^\s*(?:def|for|cd|SELECT|return|import)\b")
 TAGS = re.compile(r"<[^<>\n]{1,120}>|&[a-z]{2,8};|\\[a-zA-Z]+\*?|https?://\S+")
 N = len(LANGUAGES)
 #: Every way to part the languages in two, the first one always on the same side.
@@ -41,7 +41,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def sentences(text: str) -> list[str]:
     """The sentences of a line; code has none."""
-    if CODE.search(TAGS.sub("", text)) and not SENTENCES.search(text[:400]):
+    if CODE.search(TAGS.sub("", text)):
         return []
     return [s.strip() for s in SENTENCES.findall(text)]
 
