@@ -38,12 +38,9 @@ def token_positions(docs: DataFrame, cfg: TokenizerConfig = DEFAULT, text: str =
 
 
 def postings_of(docs: DataFrame, cfg: TokenizerConfig = DEFAULT) -> DataFrame:
-    """(term, doc_id, tf, positions). Tokens of a document lie in one row before they are parted, so its terms are
-    grouped inside that row and nothing is shuffled."""
-    listed = docs.select("doc_id", tokens(F.col("content"), cfg).alias("ts")).where(F.size("ts") > 0)
-    at = F.transform(F.col("ts"), lambda t, i: F.struct(t.alias("term"), i.alias("p")))
-    sorted_at = listed.select("doc_id", F.explode(F.array_sort(at)).alias("x")).select("doc_id", "x.term", "x.p")
-    return sorted_at.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
+    """(term, doc_id, tf, positions): one shuffle by term and document, so that a frequent term is spread over all tasks."""
+    rows = token_rows(docs, cfg).groupBy("term", "doc_id")
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("ord")).alias("positions"))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:

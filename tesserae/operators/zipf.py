@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import zipf_tokens
+from tesserae.plans.shared import materialize
 
 GROWTH_POINTS = 100
 
@@ -20,7 +21,8 @@ def term_frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
 
 def _numbered(rows: DataFrame, *order: Column, running: str | None = None) -> DataFrame:
     """rows with ``rank`` (1, 2, ...) and, if asked, the running sum of a column, over the whole order."""
-    parts = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # written once: both branches below, and any repeated task, must see the same partitions
+    parts = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranks")
     sums = [F.count(F.lit(1)).alias("n")] + ([F.sum(running).alias("s")] if running else [])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     sizes = parts.groupBy("part").agg(*sums)

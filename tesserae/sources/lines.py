@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.plans.shared import materialize
+
 
 def dense_ids(rows: DataFrame, *order: str, name: str = "doc_id") -> DataFrame:
     """Ids 0, 1, ... in the given order, without one task that holds all rows: a range-partitioned sort, numbered by the
     sizes of its partitions."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written once: both branches below, and any repeated task, must see the same partitions
+    parts = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"))
