@@ -215,16 +215,16 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All expressions of a host and construct lie in one partition: align them in a fixed order."""
-    parts: dict[tuple[str, str], list[str]] = {}
+    parts: dict[tuple[str, str], set[str]] = {}
     lines: dict[tuple[str, str], int] = {}
     for batch in batches:
         for host, construct, expression, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts.setdefault((host, construct), []).append(expression)
+            parts.setdefault((host, construct), set()).add(expression)
             lines[host, construct] = lines.get((host, construct), 0) + n
     rows = []
     for (host, construct), texts in parts.items():
         whole = None
-        for text in sorted(set(texts)):
+        for text in sorted(texts):
             whole = read(text) if whole is None else aligned(whole, read(text))
         rows.append((host, construct, written(whole), lines[host, construct]))
     columns = list(zip(*rows, strict=True)) or [[]] * 4
