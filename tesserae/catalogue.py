@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import stem, text
 from tesserae.operators import frontier, search, zipf
-from tesserae.operators.index import Index, first_of_url, token_positions, token_rows, token_statistics
+from tesserae.operators.index import Index, build_statistics, first_of_url, token_positions, token_rows, token_statistics
 from tesserae.plans import query as ql
 from tesserae.sources import lines, pages
 from tesserae.streaming.ingest import event_windows
@@ -292,6 +292,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).saved().find_postings("корпус").select("doc_id", "tf")
 
 
+@_add("build_stats", _IDX + " SELECT (SELECT count(*) FROM idocs) AS processed, (SELECT count(*) FROM index_docs) - (SELECT count(*) FROM idocs) AS skipped, count(*) AS tokens, count(DISTINCT term) AS unique_tokens FROM o")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return build_statistics(_docs(spark, d).select("doc_id", "title", "url", "content"))
+
+
+@_add("postings_sorted", _POST + " SELECT term, doc_id, tf FROM post")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).optimized().select("term", "doc_id", "tf")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------
 
 _PHRASE2 = "EXISTS (SELECT 1 FROM o a JOIN o b ON b.doc_id = a.doc_id AND b.ord = a.ord + 1 WHERE a.doc_id = idocs.doc_id AND a.term = 'по' AND b.term = 'словам')"
@@ -368,6 +378,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([row], "original_query string, terms string, complexity int, is_valid boolean, parse_tree string, error_message string")
 
 
+@_add("search_detailed", f"{_IDX} SELECT doc_id, 1.0::DOUBLE AS score, 1 AS matches FROM idocs WHERE {_has('сервер')} OR {_has('корпус')}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d).detailed("сервер || корпус")
+
+
+@_add("result_bitmap", f"{_IDX} SELECT CAST((doc_id - 1) // 32768 + 1 AS BIGINT) AS bucket, count(*) AS n FROM idocs WHERE doc_id > 0 AND {_has('индекс')} GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.result_bitmaps(_search(spark, d).matching("индекс").where("doc_id > 0")).select("bucket", "n")
+
+
+@_add("bool_xor", _bool_sql(f"({_has('новый')}) <> ({_has('индекс')})"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _search(spark, d)
+    return search.symmetric_difference(s.matching("новый"), s.matching("индекс"))
+
+
 # --- services ------------------------------------------------------------------------------------------------------
 
 
@@ -569,6 +595,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return event_windows(_table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+@_add(
+    "zipf_report",
+    _ZIPF + """ SELECT (SELECT CAST(sum(frequency) AS BIGINT) FROM freq) AS total, (SELECT count(*) FROM freq) AS "unique", round(-regr_slope(ln(frequency), ln(rank)), 6) AS s,
+  round((SELECT count(*) / sum(frequency) FROM freq), 6) AS ratio, round(sum(frequency) FILTER (rank <= 10) / sum(frequency), 6) AS top10 FROM ranked""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(zipf.report(_freq(spark, d)).select("total", "unique", "s", "ratio", "top10"), "s", "ratio", "top10")
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 
 _NORM = "lower(CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(url, '#.*$', '') ELSE 'http://' || regexp_replace(url, '#.*$', '') END)"
@@ -647,6 +682,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", pages.detect_encoding(F.col("content_type"), F.col("html_content")).alias("charset"))
 
 
+@_add("pages_of_domain", "SELECT page_id, url FROM pages WHERE domain = 'erforin-19.test'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return pages.by_domain(_table(spark, d, "pages"), "erforin-19.test").select("page_id", "url")
+
+
+@_add(
+    "parser_dispatch",
+    """SELECT page_id, CASE WHEN regexp_matches(h, '(^|[.])wikipedia[.]org$') THEN 'wiki' WHEN regexp_matches(h, '(^|[.])habr[.]com$') THEN 'blog' WHEN regexp_matches(h, '(^|[.])stackoverflow[.]com$') THEN 'qa' ELSE 'generic' END AS parser
+FROM (SELECT page_id, lower(split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':', 1)) AS h FROM pages WHERE html_content IS NOT NULL)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return pages.extract(_table(spark, d, "pages")).select("page_id", "parser")
+
+
 @_add("page_extract")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return pages.extract(_table(spark, d, "pages"))
@@ -721,6 +770,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("line_id").cast("bigint").alias("line_id"), "doc_id", "title", "url")
 
 
+@_add(
+    "results_json",
+    f"""{_IDX}, hits AS (SELECT doc_id, title FROM idocs WHERE {_has('индекс')}) SELECT json_object('query', 'индекс', 'total_results', (SELECT count(*) FROM hits), 'result', CASE WHEN title IS NULL THEN json_object('doc_id', doc_id) ELSE json_object('doc_id', doc_id, 'title', title) END)::VARCHAR AS json FROM hits""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _search(spark, d)
+    hits = s.with_metadata(s.matching("индекс"), s.index.docs).select("doc_id", "title")
+    return lines.results_json("индекс", hits, hits.count())
+
+
 @_add("store_fields", "SELECT column_name AS field FROM (DESCRIBE SELECT * FROM pages)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return pages.fields(_table(spark, d, "pages")).select("field")

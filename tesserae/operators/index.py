@@ -153,6 +153,16 @@ class Index:
         return lines.orderBy("term", "doc_id").select("line")
 
 
+def build_statistics(docs: DataFrame, cfg: TokenizerConfig = DEFAULT) -> DataFrame:
+    """(processed, skipped, tokens, unique_tokens) of a build: documents kept, documents whose url was there already, and
+    their tokens. To be written with sources.lines.write_json or write_csv."""
+    kept_docs = first_of_url(docs)
+    words = token_rows(kept_docs, cfg).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("unique_tokens"))
+    counts = kept_docs.agg(F.count(F.lit(1)).alias("processed")).join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("given"))))  # one row each
+    return counts.join(F.broadcast(sums)).select("processed", (F.col("given") - F.col("processed")).alias("skipped"), "tokens", "unique_tokens")
+
+
 def token_statistics(docs: DataFrame, cfg: TokenizerConfig = DEFAULT, text: str = "content") -> DataFrame:
     """(total_tokens, unique_tokens, avg_token_bytes, tokens_per_document); documents without tokens count."""
     words = token_rows(docs, cfg, text).groupBy("term").agg(F.count(F.lit(1)).alias("n"))

@@ -162,6 +162,18 @@ class Search:
         self.log.clear()
 
 
+def result_bitmaps(hits: DataFrame) -> DataFrame:
+    """(bucket, bitmap, n): a result set as bits, one row for each range of ids, to be kept or combined."""
+    at = F.bitmap_bit_position("doc_id")
+    rows = hits.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bitmap"))
+    return rows.withColumn("n", F.bitmap_count("bitmap"))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id) in one of two result sets and not in the other."""
+    return a.select("doc_id").unionByName(b.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
+
+
 # --- pattern search over stored pages ------------------------------------------------------------------------------
 
 
