@@ -21,35 +21,49 @@ from tesserae.llm.sample import LANGUAGES
 
 BITS = 14
 MIN_LETTERS = 12
-SENTENCES = re.compile(r"[^.!?…\n]+[.!?…]+[\"”»')]*")
-CODE = re.compile(r"&&|::|;\s*$|^\s*(?:def|for|cd|SELECT|return|import)\b")
-TAGS = re.compile(r"<[^<>\n]{1,120}>|&[a-z]{2,8};|\\[a-zA-Z]+\*?|https?://\S+")
+END = re.compile(r"[.!?…]+[\"”»')]*")
+CODE_START = re.compile(r"\s*(?:def|for|cd|SELECT|return|import)\b")
+ENTITY_END = re.compile(r"&[a-z#0-9]{2,8};$")
 N = len(LANGUAGES)
 #: Every way to part the languages in two, the first one always on the same side.
 CODEWORDS = np.array([[1 if (bit >> lang) & 1 else -1 for bit in range(1, 2 ** (N - 1))] for lang in range(N - 1)] + [[-1] * (2 ** (N - 1) - 1)], np.float32)
 AMBIGUOUS = 0.75
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashes of the text's character trigrams; digits and marks count as blanks."""
-    codes = np.frombuffer(("  " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32).copy()
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' character trigrams, and the text of each; digits and marks count as blanks.
+
+    All texts are hashed as one array: a trigram across two of them has a blank in the middle, and those are left out."""
+    padded = ["  " + t.lower() + " " for t in texts]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).copy()
+    if len(codes) < 3:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in padded])[1:-1]
     codes[(codes < 97) | ((codes > 122) & (codes < 0xC0)) | ((codes >= 0x2000) & (codes < 0x2C00))] = 32
-    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
     keep = codes[1:-1] != 32
-    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS))[keep]
+    x, y, z = codes[:-2][keep], codes[1:-1][keep], codes[2:][keep]
+    h = x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA77) + z * np.uint32(0xC2B2AE3D)
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS), owner[keep]
+
+
+def is_code(line: str) -> bool:
+    bare = line.rstrip()
+    return "&&" in bare or "::" in bare or (bare.endswith(";") and not ENTITY_END.search(bare)) or CODE_START.match(bare) is not None
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a line; code has none."""
-    if CODE.search(TAGS.sub("", text)):
+    if is_code(text):
         return []
-    return [s.strip() for s in SENTENCES.findall(text)]
+    out, at = [], 0
+    for m in END.finditer(text):
+        out.append(text[at : m.end()].strip())
+        at = m.end()
+    return out
 
 
-def _fit_once(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    counts = np.zeros((N, 1 << BITS))
-    for lang, grams in rows:
-        counts[lang] += np.bincount(grams, minlength=1 << BITS)
+def _fit_once(langs: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    counts = np.bincount(langs[owner].astype(np.int64) * (1 << BITS) + grams, minlength=N << BITS).reshape(N, 1 << BITS)
     share = counts / np.maximum(1.0, counts.sum(1, keepdims=True))  # languages weigh the same
     weights = np.zeros((1 << BITS, CODEWORDS.shape[1]), np.float32)
     present = counts.sum(1) > 0
@@ -62,54 +76,62 @@ def _fit_once(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 def fit(texts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights (trigram by bit) and which languages were seen; texts: (language, body text)."""
-    rows = []
-    for lang, text in texts:
-        for line in text.split("\n"):
-            rows += [(LANGUAGES.index(lang), g) for s in sentences(line) if len(g := trigrams(s)) >= 30]
+    rows = [(LANGUAGES.index(lang), s) for lang, text in texts for line in text.split("\n") for s in sentences(line) if len(s) >= 30]
     if not rows:
         return None
-    seen = np.bincount([r[0] for r in rows], minlength=N) > 0
-    weights = _fit_once(rows)
-    confirmed = [r for r in rows if decode(weights, seen, r[1])[0] == r[0]]
-    return (_fit_once(confirmed), seen) if confirmed else (weights, seen)
-
-
-def decode(weights: np.ndarray, seen: np.ndarray, grams: np.ndarray) -> tuple[int, float]:
-    """The nearest codeword and by how much it is nearer than the next one (a share of the mean loss)."""
-    margins = weights[grams].mean(0) * 4
-    losses = np.logaddexp(0, -CODEWORDS * margins[None, :]) * np.abs(margins)[None, :]
-    total = np.where(seen, losses.sum(1), np.inf)
-    order = np.argsort(total)
-    if not np.isfinite(total[order[1]]):
-        return int(order[0]), 1.0
-    gap = (total[order[1]] - total[order[0]]) / max(1e-9, float(np.abs(margins).mean()))
-    return int(order[0]), float(1 - np.exp(-gap))
+    langs = np.array([r[0] for r in rows])
+    seen = np.bincount(langs, minlength=N) > 0
+    grams, owner = trigrams([r[1] for r in rows])
+    weights = _fit_once(langs, grams, owner)
+    right = np.zeros(len(rows), bool)
+    for at in range(0, len(rows), 1_000):
+        lo, hi = np.searchsorted(owner, [at, at + 1_000])
+        n = min(1_000, len(rows) - at)
+        right[at : at + n] = decode(weights, seen, grams[lo:hi], owner[lo:hi] - at, n)[0] == langs[at : at + n]
+    return (_fit_once(langs, grams[right[owner]], owner[right[owner]]), seen) if right.any() else (weights, seen)
+
+
+def decode(weights: np.ndarray, seen: np.ndarray, grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n texts the nearest codeword, by how much it is nearer than the next one (as a confidence between 0 and
+    1), and its number of trigrams. ``owner``: the text of each trigram, rising."""
+    size = np.bincount(owner, minlength=n)
+    margins = np.zeros((n, weights.shape[1]), np.float32)
+    if len(grams):
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        margins[owner[starts]] = np.add.reduceat(weights[grams], starts, axis=0)
+    margins *= 4 / np.maximum(1, size)[:, None]
+    strength = np.abs(margins)
+    losses = (np.logaddexp(0, -CODEWORDS[None] * margins[:, None]) * strength[:, None]).sum(2)
+    losses[:, ~seen] = np.inf
+    best = losses.argmin(1)
+    first = losses[np.arange(n), best]
+    losses[np.arange(n), best] = np.inf
+    gap = (losses.min(1) - first) / np.maximum(1e-9, strength.mean(1))
+    return best, np.where(size > 0, 1 - np.exp(-gap), 0.0), size
 
 
 class Detector:
     def __init__(self, model: tuple[np.ndarray, np.ndarray]) -> None:
         self.weights, self.seen = model
 
-    def segment(self, text: str) -> tuple[str, float] | None:
-        grams = trigrams(text)
-        if len(grams) < MIN_LETTERS:
-            return None
-        lang, sure = decode(self.weights, self.seen, grams)
-        return LANGUAGES[lang], sure
-
     def segments(self, lines: list[str]) -> list[tuple[str, float, str]]:
-        """(language, confidence, text) of every sentence of the lines; a short one belongs to its neighbour."""
+        """(language, confidence, text) of every sentence of the lines; one of few letters belongs to the one before it in
+        its line, or else to the next, and is left out if its line has no other."""
+        parts = [(i, s) for i, line in enumerate(lines) for s in sentences(line)]
+        if not parts:
+            return []
+        texts = [s for _, s in parts]
+        best, sure, size = decode(self.weights, self.seen, *trigrams(texts), len(texts))
         out: list[tuple[str, float, str]] = []
-        for line in lines:
-            waiting = ""
-            for s in sentences(line):
-                s = (waiting + " " + s).strip()
-                found = self.segment(s)
-                if found is None:
-                    waiting = s
-                    continue
+        waiting, last = "", -1
+        for k, (i, s) in enumerate(parts):
+            if i != last:
+                waiting, last = "", i
+            if size[k] >= MIN_LETTERS:
+                out.append((LANGUAGES[best[k]], float(sure[k]), (waiting + " " + s).strip()))
                 waiting = ""
-                out.append((*found, s))
-            if waiting and out:
-                out[-1] = (*out[-1][:2], out[-1][2] + " " + waiting)
+            elif out and k and parts[k - 1][0] == i and not waiting:
+                out[-1] = (*out[-1][:2], out[-1][2] + " " + s)
+            else:
+                waiting = (waiting + " " + s).strip()
         return out

@@ -151,7 +151,7 @@ def test_languages_held_out():
     right = total = 0
     for lang, text in rows[1::2]:
         segments = detector.segments([x for x in text.split("\n") if len(x) > 150])
-        for found, _, s in segments:
+        for found, _, s in segments:  # noqa: B007
             total += len(s)
             right += len(s) * (found == lang)
     assert total and right / total > 0.9  # labels are wrong on some pages and some pages are in two languages
