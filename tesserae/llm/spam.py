@@ -73,9 +73,11 @@ class Coder:
         return code
 
     def codes(self, text: str) -> np.ndarray:
-        get, new = self.memo.get, self._class
         found = WORDS.findall(text)
-        return np.fromiter((c if (c := get(w)) is not None else new(w) for w in found), np.int64, len(found))
+        codes = list(map(self.memo.get, found))
+        if None in codes:
+            codes = [self._class(w) if c is None else c for w, c in zip(found, codes, strict=True)]
+        return np.array(codes, np.int64)
 
 
 def _count_neighbours(top: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -120,16 +122,17 @@ class Judge:
     """Scores pages; made from what ``fit`` returns."""
 
     def __init__(self, top: list[str], direction: np.ndarray) -> None:
-        self.coder, self.direction = Coder(top), direction
+        self.coder, self.flat = Coder(top), direction.reshape(-1)
 
     def block(self, lines: list[str], sentences: bool) -> bool:
         c = self.coder.codes(" ".join(lines))
         if len(c) < MIN_WORDS:
             return False
-        distinct = len(np.unique(c[:-1] * CLASSES + c[1:])) / (len(c) - 1)
+        pairs = c[:-1] * CLASSES + c[1:]
+        distinct = len(set(pairs.tolist())) / len(pairs)
         if distinct < (DISTINCT_SENTENCES if sentences else DISTINCT):
             return True
-        return float(self.direction[c[:-1], c[1:]].mean()) < DIRECTION
+        return float(self.flat[pairs].mean()) < DIRECTION
 
     def share(self, text: str) -> float:
         """The part of the text's characters that lies in spam blocks."""
