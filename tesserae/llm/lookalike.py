@@ -59,6 +59,7 @@ def look(text: Column) -> Column:
 # Letters and digits that no accent joins and no other character looks like: texts that look the same agree in them.
 STEADY = "[^bdfhjkmqtvwx0-9бвджзлнптфцчшщъыьэюяБДЖЗЛПФЦЧШЩЪЫЬЭЮЯ]+"
 SALTS = 16
+BROADCAST_ROWS = 500_000  # of two short keys: about 40 MB
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +85,23 @@ def _members(documents: DataFrame) -> DataFrame:
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     rows = materialize(texts.mapInArrow(_keys, "doc_id bigint, steady bigint, text_key binary"), "p10-keys")
     mixed = rows.groupBy("steady").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("steady")
-    first = rows.join(mixed, "steady", "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    texts = texts.join(first, "doc_id").select("text_key", F.collate(look(F.col("text")), "UNICODE").alias("look"))
+    first = materialize(rows.join(mixed, "steady", "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), "p10-first")
+    texts = _join_small(texts, first, ["doc_id"]).select("text_key", F.collate(look(F.col("text")), "UNICODE").alias("look"))
     same = Window.partitionBy("look")
     classes = texts.select("text_key", F.min("text_key").over(same).alias("class_key"), F.count(F.lit(1)).over(same).alias("texts")).where("texts > 1")
     classes = materialize(classes.drop("texts"), "p10-classes")
-    # copies of one text may be many: their join is salted
-    salted = classes.select("text_key", "class_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["text_key", "salt"]).select("doc_id", "class_key", "text_key")
+    return _join_small(rows, classes, ["text_key"]).select("doc_id", "class_key", "text_key")
+
+
+def _join_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents with a written table of candidates, which holds each key once: it goes to every task if it is small, else
+    both are shuffled, the key salted by document, as copies of one text may be many."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    if keys == ["doc_id"]:
+        return rows.join(table, keys)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 
 def lookalike_pairs(documents: DataFrame) -> DataFrame:

@@ -133,7 +133,9 @@ def same_look(a, b):
     return form(a) == form(b) != ""
 
 
-def test_lookalikes(spark):
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_lookalikes(spark, monkeypatch, small):
+    monkeypatch.setattr(lookalike, "BROADCAST_ROWS", small)
     rows = [(k, v, "clash") for k, v in LOOKS.items()] + [(100 + i, "copies of one text", "c") for i in range(300)] + [(500, "cоpies of one text", "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, look string")
     texts = {k: v for k, v, _ in rows}
