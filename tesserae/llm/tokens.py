@@ -26,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.counts import most_frequent
 from tesserae.plans.shared import write_bytes
 
 TOKENIZERS = "/opt/tokenizers"
@@ -239,10 +240,10 @@ def encoded(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     counted = texts.where("text is not null").select("text").mapInArrow(_counts, "piece string, n bigint")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(LEXICON_WORDS)
+    top = most_frequent(counted.groupBy("piece").agg(F.sum("n").alias("n")), "piece", LEXICON_WORDS)
     vocabulary = str(Path(tokenizers) / VOCABULARY)
     ranks = load_ranks(vocabulary)
-    words = {p: merge(p, ranks) for p in (row[0].encode("utf-8") for row in top.select("piece").collect())}
+    words = {p: merge(p, ranks) for p in (t.encode("utf-8") for t in top)}
     path = write_bytes(spark, "p8-lexicon", compile_lexicon(words))
     if not path.startswith("file:"):
         spark.sparkContext.addFile(path)

@@ -96,3 +96,13 @@ def test_chunks_are_equal_wherever_a_line_stands():
     long = [bytes(np.random.default_rng(1).integers(97, 123, 4000, dtype=np.uint8))]
     h, o = lines.chunk_hashes(long)
     assert 20 < len(h) < 200 and o[-1] == len(h)
+
+
+def test_most_frequent(spark):
+    from tesserae.llm.counts import most_frequent
+
+    df = spark.createDataFrame([(f"w{i:02d}", 2**i) for i in range(20)] + [("tie a", 3), ("tie b", 3)], "word string, n bigint")
+    assert most_frequent(df, "word", 5) == ["w15", "w16", "w17", "w18", "w19"]
+    assert len(most_frequent(df, "word", 19)) == 18  # the ties stay together
+    assert len(most_frequent(df, "word", 100)) == 22
+    assert most_frequent(df.where("false"), "word", 5) == [] and most_frequent(df.where("n = 3"), "word", 1) == []
