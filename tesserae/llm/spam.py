@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.counts import most_frequent
+
 TOP, NAMES, ENDINGS = 768, 7, 248
 CLASSES = TOP + 1 + NAMES + ENDINGS  # 1024
 SMOOTH = 1e-8  # of all neighbours
 LONG_LINE, MIN_WORDS = 20, 12
-DIRECTION, DISTINCT, DISTINCT_SENTENCES, SHARE = 1.5, 0.6, 0.35, 0.5
+DIRECTION, DISTINCT, DISTINCT_SENTENCES, SHARE = 1.05, 0.6, 0.35, 0.5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+")
 CODE = re.compile(r"[;{}=<>\\]|\)\s*$|\w\(")
 ENDS = (".", "!", "?", "…", ":")
@@ -107,7 +109,7 @@ def fit(pages: DataFrame) -> tuple[list[str], np.ndarray]:
     Both tables have a fixed size; every page is counted."""
     texts = pages.where("content is not null").select("content")
     words = texts.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in words.orderBy(F.desc("n"), "word").limit(TOP).collect()]
+    top = most_frequent(words, "word", TOP)
     cells = texts.mapInArrow(_count_neighbours(top), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CLASSES * CLASSES)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
