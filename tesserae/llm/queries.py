@@ -125,24 +125,49 @@ WITH page_terms AS (
 )"""
 
 
+def _look_sql() -> str:
+    """The look-alike form of documents.text in SQL; composition stands for the collation's equality."""
+    single = {k: v for k, v in lookalike.look_map().items() if v}
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    form = f"translate(text, {quote(''.join(single) + lookalike.INVISIBLE)}, {quote(''.join(single.values()))})"
+    for joined, parts in (lookalike.JOINED | {"ў": "y\u0306", "Ў": "Y\u0306"}).items():
+        form = f"replace({form}, {quote(joined)}, {quote(parts)})"
+    return f"trim(nfc_normalize({form}), ' ')"
+
+
+_LINES = """
+WITH lines AS (
+  SELECT page_id, domain, url, unnest(string_split(content, chr(10))) AS line,
+         CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no
+  FROM pages WHERE content IS NOT NULL
+), normal AS (
+  SELECT page_id, domain, url, line_no, line,
+         lower(trim(regexp_replace(line, '[ ' || chr(9) || chr(13) || chr(160) || ']+', ' ', 'g'), ' ')) AS form FROM lines
+), repeated AS (
+  SELECT domain, form FROM normal WHERE domain IS NOT NULL AND length(form) >= 20 GROUP BY domain, form HAVING count(DISTINCT url) >= 6
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    looks = f"WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL)"
     return {
+        "p10_found": looks
+        + """ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id WHERE a.look <> ''""",
+        "p10_forms": looks
+        + """, texts AS (SELECT look, text, count(*) AS n FROM looks WHERE look <> '' GROUP BY look, text),
+best AS (SELECT look, first(text ORDER BY n DESC, md5(text)) AS form FROM texts GROUP BY look)
+SELECT doc_id, coalesce(form, text) AS form, coalesce(form, text) IS DISTINCT FROM text AS changed
+FROM documents LEFT JOIN looks USING (doc_id, text) LEFT JOIN best USING (look)""",
+        "p7_clean": _LINES
+        + """, cut AS (SELECT n.page_id, n.line_no, n.line, r.form IS NOT NULL AS gone FROM normal n LEFT JOIN repeated r ON r.domain = n.domain AND r.form = n.form),
+kept AS (SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS content, CAST(count(*) FILTER (gone) AS INTEGER) AS lines_cut FROM cut GROUP BY page_id)
+SELECT page_id, kept.content, coalesce(lines_cut, 0) AS lines_cut FROM pages LEFT JOIN kept USING (page_id)""",
         "p4_counts": _COUNTS + " SELECT origin, term, cf, df FROM counts",
         "p4_found": _COUNTS
         + """, marked AS (
   SELECT origin, term, CASE WHEN 4 * df > n THEN 'common' WHEN df <= 2 AND cf <= 4 THEN 'rare' END AS mark
   FROM counts JOIN totals USING (origin))
 SELECT origin, term, mark FROM marked WHERE mark IS NOT NULL""",
-        "p7_found": """
-WITH lines AS (
-  SELECT page_id, domain, url, unnest(string_split(content, chr(10))) AS line,
-         CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no
-  FROM pages WHERE domain IS NOT NULL AND content IS NOT NULL
-), normal AS (
-  SELECT page_id, domain, url, line_no,
-         lower(trim(regexp_replace(line, '[ ' || chr(9) || chr(13) || chr(160) || ']+', ' ', 'g'), ' ')) AS form FROM lines
-), repeated AS (
-  SELECT domain, form FROM normal WHERE length(form) >= 20 GROUP BY domain, form HAVING count(DISTINCT url) >= 6
-)
+        "p7_found": _LINES + """
 SELECT page_id, line_no FROM normal JOIN repeated USING (domain, form)""",
     }
