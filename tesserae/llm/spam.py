@@ -2,7 +2,9 @@
 
 Method: pointwise mutual information of neighbouring words from counts over the whole corpus. Words are the TOP most
 frequent ones and, for all others, classes by shape and ending, so that the table of neighbours has a fixed size at any
-size of the corpus and counts all of it. Words that share a topic attract each other in either order, only sentences
+size of the corpus and counts all of it. Copies would make a list's own neighbours frequent in its own order: lines are cut
+into pieces where their words say so, and each distinct piece of the corpus is counted once, however many rows hold it and
+whatever stands around it; neighbours found in one piece only say nothing. Words that share a topic attract each other in either order, only sentences
 have a direction: a block's coherence is the mean PMI of its neighbours as they stand less the mean PMI of the same
 neighbours turned round. A block is spam if it has no direction (word salad) or if few of its neighbours are distinct
 (repeated collocations, link lists); a page is if such blocks hold half of its characters. Long lines are blocks, short
@@ -25,16 +27,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.counts import most_frequent
+from tesserae.plans.shared import materialize
 
 TOP, NAMES, ENDINGS = 768, 7, 248
 CLASSES = TOP + 1 + NAMES + ENDINGS  # 1024
 SMOOTH = 1e-8  # of all neighbours
 LONG_LINE, MIN_WORDS = 20, 12
 DIRECTION, DISTINCT, DISTINCT_SENTENCES, SHARE = 1.05, 0.6, 0.35, 0.5
-WORDS, LETTERS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+")
+WORDS, LETTERS, DIGITS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 CODE = re.compile(r"[;{}=<>\\]|\)\s*$|\w\(")
 ENDS = (".", "!", "?", "…", ":")
 WORD_BLOCK = 300_000
+PIECE = 8  # words of a piece, on average
+
+
+def pieces(text: str, memo: dict[str, int]) -> Iterator[str]:
+    """The lines' words in pieces that end after some neighbours, chosen by a hash of the two: equal runs of words have equal
+    pieces in any line, whatever their numbers are (one class). A piece that goes on from another begins with a blank and that
+    one's last word, so every neighbour is in one."""
+    for line in DIGITS.sub("0", text).split("\n"):
+        found = WORDS.findall(line)
+        if not found:
+            continue
+        if len(memo) > WORD_BLOCK:
+            memo.clear()
+        hashes = list(map(memo.get, found))
+        if None in hashes:
+            hashes = [memo.setdefault(w, zlib.crc32(w.encode())) for w in found]
+        start, mark = 0, ""
+        for i in range(1, len(found) - 1):
+            if (hashes[i - 1] * 31 + hashes[i]) % 0xFFFFFFFB % PIECE == 0:
+                yield mark + " ".join(found[start : i + 1])
+                start, mark = i, " "
+        yield mark + " ".join(found[start:])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[str, int] = {}
+    seen: dict[str, None] = {}
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["piece"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(dict.fromkeys(pieces(text, memo)))
+            if len(seen) > WORD_BLOCK:
+                yield rows()
+                seen.clear()
+    yield rows()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,11 +85,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(LETTERS.findall(text.lower()))
-            if len(counts) > WORD_BLOCK:
-                yield rows()
-                counts.clear()
+        # the word that a piece repeats was counted in the piece before
+        texts = [x[x.index(" ", 1) :] if x[0] == " " else x for x in batch.column(0).to_pylist()]
+        counts.update(LETTERS.findall("\n".join(texts).lower()))
+        if len(counts) > WORD_BLOCK:
+            yield rows()
+            counts.clear()
     yield rows()
 
 
@@ -86,17 +128,11 @@ def _count_neighbours(top: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table = Coder(top), np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            cells = []
-            for text in batch.column(0).to_pylist():
-                for line in text.split("\n"):
-                    c = coder.codes(line)
-                    if len(c) > 1:
-                        cells.append(c[:-1] * CLASSES + c[1:])
-                if len(cells) > 5_000:
-                    table += np.bincount(np.concatenate(cells), minlength=len(table))
-                    cells = []
-            if cells:
-                table += np.bincount(np.concatenate(cells), minlength=len(table))
+            texts = batch.column(0).to_pylist()
+            if texts:
+                c = coder.codes("\n".join(texts))
+                ends = np.cumsum([x.count(" ") + (x[0] != " ") for x in texts])[:-1]
+                table += np.bincount(np.delete(c[:-1] * CLASSES + c[1:], ends - 1), minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["cell", "n"])
 
@@ -106,8 +142,8 @@ def _count_neighbours(top: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
 def fit(pages: DataFrame) -> tuple[list[str], np.ndarray]:
     """The most frequent words and, for each pair of classes, its PMI less that of the pair turned round.
 
-    Both tables have a fixed size; every page is counted."""
-    texts = pages.where("content is not null").select("content")
+    Both tables have a fixed size; every page is counted, equal pieces of pages once."""
+    texts = materialize(pages.where("content is not null").select("content").mapInArrow(_cut, "piece string").distinct(), "pieces")
     words = texts.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = most_frequent(words, "word", TOP)
     cells = texts.mapInArrow(_count_neighbours(top), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -116,7 +152,8 @@ def fit(pages: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = counts.reshape(CLASSES, CLASSES)
     total = max(1.0, counts.sum())
     expected = counts.sum(1)[:, None] * counts.sum(0)[None, :] / total
-    pmi = np.log((counts + SMOOTH * total) / (expected + SMOOTH * total))
+    # one occurrence of every pair is taken off: a block's own neighbours are no evidence for it
+    pmi = np.log((np.maximum(counts - 1, 0) + SMOOTH * total) / (expected + SMOOTH * total))
     return top, (pmi - pmi.T).astype(np.float32)
 
 
