@@ -6,7 +6,9 @@ cost for each step and each character that couldn't be undone; the shortest wins
 chain is shorter by a margin. Dictionaries are trained on a bounded sample of labelled pages.
 
 A line is suspect if it holds what none of the languages writes: odd characters, capitals inside a word, Cyrillic and
-Latin letters in one word, three accented letters in a row. This only sets aside lines that no chain could shorten.
+Latin letters in one word, three accented letters in a row. Some characters, dashes and quotes among them, become characters
+that are all written somewhere: a line that holds these in place of them (HIDDEN) is tried too, by itself and with what is
+right beside them kept.
 Samples quoted between « and » in an otherwise sound line are left.
 
 Defined results: null, empty and blank fields are sound; a field with lines that can be restored only in part is found,
@@ -62,6 +64,25 @@ _ENCODE = _tables()
 _DECODE = {name: str.maketrans({chr(b): bytes([b]).decode(name, "ignore") or chr(b) for b in range(128, 256)}) for name in SINGLE}
 
 
+def _hidden() -> dict[str, tuple[re.Pattern, re.Pattern, dict[str, str]]]:
+    """For each charset: what the sound characters' UTF-8 becomes read in it, where SUSPECT doesn't see that. Cyrillic letters
+    are only looked for as a whole run, as they stand inside sound words."""
+    out = {}
+    sound = [ch for ch in map(chr, range(128, 0x10000)) if not SUSPECT.search(ch)]
+    for name in SINGLE:
+        forms = {ch.encode().decode("latin-1").translate(_DECODE[name]): ch for ch in sound}
+        forms = {form: ch for form, ch in forms.items() if not SUSPECT.search(form)}
+        if forms:
+            any_form = "|".join(map(re.escape, sorted(forms, key=len, reverse=True)))
+            whole = f"(?<![^\\x00-\\x7f])(?:{any_form})+(?![^\\x00-\\x7f])" if name in CYRILLIC_SETS else any_form
+            out[name] = re.compile(whole), re.compile(any_form), forms
+    return out
+
+
+#: What SUSPECT can't see, by charset: where to look, its parts, and the character each stands for.
+HIDDEN = _hidden()
+
+
 def undo(text: str, wrong: str, true: str) -> tuple[str, int] | None:
     """The text read as ``wrong`` though written in ``true``, read anew, and the number of characters lost."""
     table = _ENCODE[wrong]
@@ -149,7 +170,7 @@ class Repairer:
 
     def text(self, text: str) -> tuple[str, int]:
         """The text with its garbled lines restored, and how many there were."""
-        if not SUSPECT.search(text):
+        if not SUSPECT.search(text) and (text.isascii() or not any(where.search(text) for where, _, _ in HIDDEN.values())):
             return text, 0
         lines, chain, fixed = text.split("\n"), None, set()
         order = list(range(len(lines)))
@@ -166,14 +187,30 @@ class Repairer:
                             order += range(i)  # the lines before it once more, now that a chain is known
                         lines[i], chain = done, used
                         fixed.add(i)
-            elif chain and i not in fixed and not line.isascii():
-                # a line without suspect characters among garbled ones
-                done = self._chain(line, chain)
+            elif not line.isascii():
+                # a line without suspect characters, perhaps among garbled ones
+                done = self._chain(line, chain) if chain else None
                 if done and not done[1] and self.length(done[0]) + MARGIN <= self.length(line):
                     lines[i] = done[0]
                     fixed.add(i)
+                elif (shown := self._shown(line)) != line:
+                    lines[i] = shown
+                    fixed.add(i)
         return "\n".join(lines), len(fixed)
 
+    def _shown(self, line: str) -> str:
+        """The line with the characters of HIDDEN as they were, if that is sound and shorter; quoted samples are left."""
+        best, size = line, None
+        for where, parts, forms in HIDDEN.values():
+            if where.search(QUOTED.sub("", line)):
+                done = where.sub(lambda run: parts.sub(lambda m: forms[m[0]], run[0]), line)  # noqa: B023
+                if SUSPECT.search(done):
+                    continue
+                size = self.length(line) - MARGIN if size is None else size
+                if (n := self.length(done) + STEP_COST) <= size:
+                    best, size = done, n
+        return best
+
     def _outside(self, line: str, bare: str, chain: tuple) -> bool:
         """Whether undoing the chain also shortens what stands outside the quoted samples."""
         if bare == line:
