@@ -262,10 +262,11 @@ def test_markup_of_long_broken_texts(sign):
 
 
 def test_alignment():
-    line = "One **two** and **three** there"
+    line = "One **two**"
     found = markup.tokens(line)
     a = markup.folded(found, line)
-    assert [x[0] for x in a][:2] == ["=One", "markdown_strong"] and markup.read(markup.written(a)) == a
+    assert [x[0] for x in a] == ["=One", "markdown_strong", "=two", "/markdown_strong"] and markup.read(markup.written(a)) == a
+    assert markup.shown(markup.folded(markup.tokens(x := "One **two** and **three** there"), x)) == "~+ markdown_strong+ ~+ /markdown_strong+ 'there'"
     b = markup.folded(markup.tokens("**x** [a](/b) y"), "**x** [a](/b) y")
     both = markup.aligned(a, b)
     assert {x[0] for x in both} >= {"~", "markdown_strong", "/markdown_strong", "markdown_link"}
