@@ -1,15 +1,17 @@
 """Problem 2: text that was decoded with the wrong charset.
 
-Method: for every suspect line, each chain of (wrong charset, true charset) steps that can be undone gives a candidate.
-Its description length is the size of its zstandard compression with the best of the languages' dictionaries, plus a
-cost for each step and each character that couldn't be undone; the shortest wins, and the line stays as it is unless a
-chain is shorter by a margin. Dictionaries are trained on a bounded sample of labelled pages.
+Method: every chain of (wrong charset, true charset) steps that can be undone in a line gives a candidate, for every line with
+a character outside ASCII. Its description length is the size of its zstandard compression with the best of all languages'
+dictionaries plus the cost of the chain, -log2 of how often its steps are right in the sample; the shortest wins, and the line
+stays as it is unless a chain is shorter. Where only some characters of a line are garbled, the candidates that put back only
+what is whole UTF-8 in a charset are among them.
 
-A line is suspect if it holds what none of the languages writes: odd characters, capitals inside a word, Cyrillic and
-Latin letters in one word, three accented letters in a row. Some characters, dashes and quotes among them, become characters
-that are all written somewhere: a line that holds these in place of them (HIDDEN) is tried too, by itself and with what is
-right beside them kept.
-Samples quoted between « and » in an otherwise sound line are left.
+Compressing all candidates of all lines (about 18 in six dictionaries for each) takes ten times what the rest of the pass does.
+So all candidates are first described by letter trigrams of the same languages, whose lengths are sums over words and are
+remembered by word; a step has to be worth its cost in this description, too, and what it gives isn't compressed otherwise.
+
+Samples quoted between « and » in an otherwise sound line are left. Dictionaries, trigrams and costs come from a bounded sample
+of labelled pages. Undone are any number of UTF-8 steps and, after them, at most one step between single-byte charsets.
 
 Defined results: null, empty and blank fields are sound; a field with lines that can be restored only in part is found,
 the rest stays; a page is found once for each field; without labelled pages nothing is found.
@@ -17,10 +19,14 @@ the rest stays; a page is found once for each field; without labelled pages noth
 
 from __future__ import annotations
 
+import codecs
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import log2
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,8 +34,10 @@ from pyspark.sql import DataFrame
 from tesserae.llm.sample import LANGUAGES, labelled_pages
 
 DICTIONARY_BYTES = 24_576
-STEP_COST, LOST_COST, MARGIN = 1, 2, 1  # bytes; a step is one of about 30, and one line in twenty is garbled
-DEPTH = 3
+LOST_BITS = 16  # of a character that can't be restored, or that no text has
+COST_PAGES = 1_000  # of the sample, on which costs are learned
+TRIGRAM_BITS, UNSEEN = 19, 15.0
+MEMO = 40_000  # words whose trigram lengths are remembered
 
 # Charsets, and the steps from the one a text was read as to the one it was written in.
 SINGLE = ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1252", "latin-1")
@@ -38,189 +46,155 @@ STEPS = [(wrong, "utf-8") for wrong in SINGLE]
 STEPS += [(wrong, true) for true in CYRILLIC_SETS for wrong in SINGLE if wrong != true]
 STEPS += [(wrong, "cp1252") for wrong in CYRILLIC_SETS]
 
+#: A candidate's step: charsets, and whether only what is whole UTF-8 in the wrong one is put back.
+Step = tuple[str, str, bool]
+ALL_STEPS: list[Step] = [(w, t, False) for w, t in STEPS] + [(w, "utf-8", True) for w in SINGLE]
+_NAMES = {"windows-1251": "cp1251", "windows-1252": "cp1252", "iso-8859-1": "latin-1", "latin1": "latin-1", "iso-8859-5": "iso8859-5", "koi8r": "koi8-r", "ibm866": "cp866"}
+
 LOST, MISSING = "\ufffd", "\x1a"  # a character that can't be restored; its place while a line is undone
 _CYR = "а-яёіїєґ"
 _SOUND = "\\x09-\\x7eА-Яа-яЁёІіЇїЄєҐґäöüßÄÖÜàâçéèêëîïôùûœæñáíóúÀÉÈÊÇÔŒÑÁÍÓÚÎ¿¡ºª«»“”„‚’‘—–…№©®°·•›‹§±²³½€−×≤≥→←✓' ­ -‏ - ⁠　﻿"
 SUSPECT = re.compile(
     f"[^{_SOUND}]|[{_CYR}][А-ЯЁІЇЄҐ]|[a-zA-Z][{_CYR}А-ЯЁ]|[{_CYR}А-ЯЁ][a-zA-Z]|[À-ÿ]{{3}}|[ВГ][·©«»°№§±®º ­²³]|\\?{{3}}"
 )
+CONTROLS = re.compile("[\x80-\x9f]")
+#: A word whose letters all were replaced; where there are several, nothing can be restored.
+UNREADABLE = re.compile(r"(?<![^ ])\?{3,}[^\w ?]?(?![^ ])")
 #: A quoted sample; the marks may also stand inside it, so the closing one is the first that no letter follows.
 QUOTED = re.compile(r"«[^\n]{1,120}?»(?![^\W\d_])")
 
 
-def _tables() -> dict[str, dict[int, str]]:
-    """For each charset: its characters to the Latin-1 character of their byte; undefined bytes stand for themselves."""
-    out = {}
-    for name in SINGLE:
-        table = {}
-        for b in range(128, 256):
-            ch = bytes([b]).decode(name, "ignore") or chr(b)
-            table[ord(ch)] = chr(b)
-        out[name] = table
-    return out
+def _missing(undefined: bytes):  # noqa: ANN202
+    """Handles what a charset can't encode or decode: its undefined bytes stand for themselves, other characters are missing."""
+
+    def handle(e: UnicodeError) -> tuple:
+        if isinstance(e, UnicodeDecodeError):
+            return "".join(map(chr, e.object[e.start : e.end])), e.end
+        if not undefined or min(e.object[e.start : e.end]) > "\xff":
+            return MISSING.encode() * (e.end - e.start), e.end
+        return bytes(ord(ch) if ord(ch) < 256 and ord(ch) in undefined else ord(MISSING) for ch in e.object[e.start : e.end]), e.end
 
+    return handle
 
-_ENCODE = _tables()
-_DECODE = {name: str.maketrans({chr(b): bytes([b]).decode(name, "ignore") or chr(b) for b in range(128, 256)}) for name in SINGLE}
 
+def _bytes_of(name: str) -> list[str]:
+    """The characters of the bytes from 128 on."""
+    return [bytes([b]).decode(name, "ignore") or chr(b) for b in range(128, 256)]
 
-def _hidden() -> dict[str, tuple[re.Pattern, re.Pattern, dict[str, str]]]:
-    """For each charset: what the sound characters' UTF-8 becomes read in it, where SUSPECT doesn't see that. Cyrillic letters
-    are only looked for as a whole run, as they stand inside sound words."""
+
+for _name in SINGLE:
+    codecs.register_error("tesserae-" + _name, _missing(bytes(b for b in range(128, 256) if not bytes([b]).decode(_name, "ignore"))))
+
+
+def _whole() -> dict[str, re.Pattern]:
+    """For each charset: characters that are whole UTF-8 sequences in it. In the Cyrillic ones only as a whole run, as their
+    letters stand beside each other in sound words, too."""
     out = {}
-    sound = [ch for ch in map(chr, range(128, 0x10000)) if not SUSPECT.search(ch)]
     for name in SINGLE:
-        forms = {ch.encode().decode("latin-1").translate(_DECODE[name]): ch for ch in sound}
-        forms = {form: ch for form, ch in forms.items() if not SUSPECT.search(form)}
-        if forms:
-            any_form = "|".join(map(re.escape, sorted(forms, key=len, reverse=True)))
-            whole = f"(?<![^\\x00-\\x7f])(?:{any_form})+(?![^\\x00-\\x7f])" if name in CYRILLIC_SETS else any_form
-            out[name] = re.compile(whole), re.compile(any_form), forms
+        byte = _bytes_of(name)
+
+        def chars(lo: int, hi: int) -> str:
+            return "[" + "".join(re.escape(byte[b - 128]) for b in range(lo, hi + 1)) + "]"  # noqa: B023
+
+        more = chars(0x80, 0xBF)
+        any_ = f"(?:{chars(0xC2, 0xDF)}{more}|{chars(0xE0, 0xEF)}{more}{more}|{chars(0xF0, 0xF4)}{more}{more}{more})+"
+        out[name] = re.compile(f"(?<![^\\x00-\\x7f]){any_}(?![^\\x00-\\x7f])" if name in CYRILLIC_SETS else any_)
     return out
 
 
-#: What SUSPECT can't see, by charset: where to look, its parts, and the character each stands for.
-HIDDEN = _hidden()
+_WHOLE = _whole()
 
 
-def undo(text: str, wrong: str, true: str) -> tuple[str, int] | None:
+def undo(text: str, wrong: str, true: str, partly: bool = False) -> tuple[str, int] | None:
     """The text read as ``wrong`` though written in ``true``, read anew, and the number of characters lost."""
-    table = _ENCODE[wrong]
-    chars, lost = [], 0
-    for ch in text:
-        code = ord(ch)
-        if code < 128:
-            chars.append(ch)
-        elif (byte := table.get(code)) is not None:
-            chars.append(byte)
-        else:
-            chars.append(MISSING)
-            lost += 1
+    if partly:
+
+        def put(m: re.Match) -> str:
+            try:
+                return m[0].encode(wrong, "tesserae-" + wrong).decode("utf-8")
+            except UnicodeError:
+                return m[0]
+
+        done = _WHOLE[wrong].sub(put, text)
+        return (done, 0) if done != text else None
+    raw = text.encode(wrong, "tesserae-" + wrong)
+    lost = raw.count(MISSING.encode())
     if lost * 4 > len(text):
         return None
-    raw = "".join(chars)
     if true == "utf-8":
-        done = raw.encode("latin-1").decode("utf-8", "replace").replace(MISSING, LOST)
+        done = raw.decode("utf-8", "replace").replace(MISSING, LOST)
         lost = done.count(LOST)
         if lost * 4 > len(done):
             return None
     else:
-        done = raw.translate(_DECODE[true]).replace(MISSING, LOST)
+        done = raw.decode(true, "tesserae-" + true).replace(MISSING, LOST)
     return (done, lost) if done != text else None
 
 
-class Repairer:
-    """Restores lines; holds a compressor for each language's dictionary."""
-
-    def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.compressors = {}
-        for lang, data in dictionaries.items():
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            self.compressors[lang] = zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-
-    def length(self, text: str) -> int:
-        data = text.encode("utf-8", "replace")
-        cyrillic = len(data) > 1.3 * len(text)
-        langs = ("ru", "uk") if cyrillic else ("en", "de", "fr", "es")
-        sizes = [len(self.compressors[x].compress(data)) for x in langs if x in self.compressors]
-        return min(sizes, default=len(data))
-
-    def line(self, text: str, first: tuple | None = None) -> tuple[str, tuple | None]:
-        """The line restored, and the chain that did it (none: unchanged). ``first``: a chain to try before all others."""
-        own = self.length(text)
-        # a chain that undid another line of the field has no cost of its own any more
-        if first and (done := self._chain(text, first)) and not SUSPECT.search(done[0].replace(LOST, "")):
-            if self.length(done[0]) + LOST_COST * done[1] <= own:
-                return done[0], first
-        best, chain, size = text, None, own - MARGIN
-        level = [(text, (), 0)]
-        seen = {text}
-        for depth in range(DEPTH):
-            found = []
-            for at, steps, lost in level:
-                for step in STEPS:
-                    if depth and step[1] != "utf-8" and steps[-1][1] != "utf-8":
-                        continue
-                    if (done := undo(at, *step)) is None or done[0] in seen:
-                        continue
-                    seen.add(done[0])
-                    odd = len(SUSPECT.findall(done[0]))
-                    found.append((odd + 2 * (lost + done[1]), done[0], (*steps, step), lost + done[1]))
-            if not found:
-                break
-            found.sort(key=lambda x: x[0])
-            for _, done, steps, lost in found[:6]:
-                n = self.length(done) + STEP_COST * len(steps) + LOST_COST * lost
-                if n <= size:
-                    best, chain, size = done, steps, n
-            if chain and not SUSPECT.search(best):
-                break
-            # deeper only through Unicode: a text read wrongly twice shrinks each time it is undone
-            level = [(d, s, x) for _, d, s, x in found[:4] if s[-1][1] == "utf-8" and len(d) < len(text)]
-        return best, chain
-
-    def _chain(self, text: str, steps: tuple) -> tuple[str, int] | None:
-        lost = 0
-        for step in steps:
-            if (done := undo(text, *step)) is None:
-                return None
-            text, lost = done[0], lost + done[1]
-        return text, lost
-
-    def text(self, text: str) -> tuple[str, int]:
-        """The text with its garbled lines restored, and how many there were."""
-        if not SUSPECT.search(text) and (text.isascii() or not any(where.search(text) for where, _, _ in HIDDEN.values())):
-            return text, 0
-        lines, chain, fixed = text.split("\n"), None, set()
-        order = list(range(len(lines)))
-        for i in order:
-            line = lines[i]
-            if i in fixed:
-                continue
-            if SUSPECT.search(line):
-                bare = QUOTED.sub("", line)
-                if bare == line or SUSPECT.search(bare):
-                    done, used = self.line(line, chain)
-                    if used and self._outside(line, bare, used):
-                        if chain is None:
-                            order += range(i)  # the lines before it once more, now that a chain is known
-                        lines[i], chain = done, used
-                        fixed.add(i)
-            elif not line.isascii():
-                # a line without suspect characters, perhaps among garbled ones
-                done = self._chain(line, chain) if chain else None
-                if done and not done[1] and self.length(done[0]) + MARGIN <= self.length(line):
-                    lines[i] = done[0]
-                    fixed.add(i)
-                elif (shown := self._shown(line)) != line:
-                    lines[i] = shown
-                    fixed.add(i)
-        return "\n".join(lines), len(fixed)
-
-    def _shown(self, line: str) -> str:
-        """The line with the characters of HIDDEN as they were, if that is sound and shorter; quoted samples are left."""
-        best, size = line, None
-        for where, parts, forms in HIDDEN.values():
-            if where.search(QUOTED.sub("", line)):
-                done = where.sub(lambda run: parts.sub(lambda m: forms[m[0]], run[0]), line)  # noqa: B023
-                if SUSPECT.search(done):
-                    continue
-                size = self.length(line) - MARGIN if size is None else size
-                if (n := self.length(done) + STEP_COST) <= size:
-                    best, size = done, n
-        return best
-
-    def _outside(self, line: str, bare: str, chain: tuple) -> bool:
-        """Whether undoing the chain also shortens what stands outside the quoted samples."""
-        if bare == line:
-            return True
-        done = self._chain(bare, chain)
-        return done is not None and self.length(done[0]) < self.length(bare)
+# --- models --------------------------------------------------------------------------------------------------------
+
+
+class Models(NamedTuple):
+    """What is fitted on the sample; of fixed size."""
+
+    dictionaries: dict[str, bytes]
+    trigrams: tuple[np.ndarray, np.ndarray, np.ndarray]  # hash, language and bits of those seen
+    costs: dict[tuple[Step, bool], float]  # bits, by step and whether its wrong charset is the declared one
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the texts, each with blanks around it, and where each text's begin."""
+    padded = ["  " + t + " " for t in texts]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
+    codes = np.where((codes >= 48) & (codes <= 57), np.uint32(48), codes).astype(np.uint32)
+    codes[codes == 0xA0] = 32
+    return codes, np.concatenate([[0], np.cumsum([len(p) for p in padded])[:-1]])
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all trigrams, along the last axis."""
+    h = codes[..., :-2] * np.uint32(0x9E3779B1) + codes[..., 1:-1] * np.uint32(0x85EBCA77) + codes[..., 2:] * np.uint32(0xC2B2AE3D)
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - TRIGRAM_BITS)
+
+
+# For the trigram lengths: the byte of each character in each charset (MISSING for none), and the character of each byte.
+_TO_BYTE = np.full((len(SINGLE), 1 << 16), ord(MISSING), np.uint8)
+_OF_BYTE = np.zeros((len(SINGLE), 256), np.uint32)
+for _k, _name in enumerate(SINGLE):
+    _TO_BYTE[_k, :128] = np.arange(128)
+    _OF_BYTE[_k, :128] = np.arange(128)
+    _OF_BYTE[_k, 128:] = [ord(ch) for ch in _bytes_of(_name)]
+    _TO_BYTE[_k, _OF_BYTE[_k, 128:]] = np.arange(128, 256)
+    _OF_BYTE[_k, ord(MISSING)] = ord(LOST)
+#: The first steps: those between single bytes are told by tables, those of UTF-8 word by word.
+_PLAIN = [k for k, (_, true, _) in enumerate(ALL_STEPS) if true != "utf-8"]
+_PLAIN_FROM = np.array([SINGLE.index(ALL_STEPS[k][0]) for k in _PLAIN])
+_PLAIN_TO = np.array([SINGLE.index(ALL_STEPS[k][1]) for k in _PLAIN])
+
+
+def trigram_bits(texts: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, language and bits (after its first two characters) of each trigram in the texts."""
+    out = []
+    for k, lang in enumerate(LANGUAGES):
+        words = Counter(w for t in texts.get(lang, ()) for w in t.replace("\n", " ").split(" "))
+        seen: Counter = Counter()
+        context: Counter = Counter()
+        for w, n in words.items():
+            p = "  " + re.sub("[0-9]", "0", w.replace("\u00a0", " ")) + " "
+            for i in range(len(p) - 2):
+                seen[p[i : i + 3]] += n
+                context[p[i : i + 2]] += n
+        grams = list(seen)
+        if grams:
+            # hashed one by one: a gram stands in the middle of what _hashes puts around it
+            at = _hashes(_codes(grams)[0])[2::6][: len(grams)]
+            bits = [min(UNSEEN, -log2(seen[g] / (context[g[:2]] + 1))) for g in grams]
+            out.append((at.astype(np.int32), np.full(len(at), k, np.int8), np.array(bits, np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.float32))
 
 
 def dictionaries(texts: list[tuple[str, str]]) -> dict[str, bytes]:
-    """A dictionary for each language: the lines of its texts that are sound, most frequent words' lines last."""
+    """A dictionary for each language from the lines of its texts that are sound, the last ones being nearest."""
     out = {}
     by = defaultdict(list)
     for lang, text in texts:
@@ -230,7 +204,7 @@ def dictionaries(texts: list[tuple[str, str]]) -> dict[str, bytes]:
         lines = list(dict.fromkeys(x.strip() for x in by[lang]))
         if len(lines) > 50:
             try:
-                out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, [x.encode() for x in lines[:4000]], k=200, d=8).as_bytes()[-DICTIONARY_BYTES:]
+                out[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, [x.encode() for x in lines], k=200, d=8).as_bytes()[-DICTIONARY_BYTES:]
                 continue
             except zstandard.ZstdError:
                 pass
@@ -239,19 +213,226 @@ def dictionaries(texts: list[tuple[str, str]]) -> dict[str, bytes]:
     return out
 
 
-def _repair(batches: Iterator[pa.RecordBatch], models: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
-    repairer = Repairer(models)
+def fit(sample: list[tuple[str, str, str | None]], declared: list[str | None] | None = None) -> Models | None:
+    """Models of (language, text) rows, ``declared`` being the charsets that the pages name; None without rows."""
+    texts = [(row[0], row[1]) for row in sample]
+    found = dictionaries(texts)
+    if not found:
+        return None
+    by = defaultdict(list)
+    for lang, text in texts:
+        if not SUSPECT.search(text):
+            by[lang].append(text)
+    trigrams = trigram_bits(by)
+    flat = {(step, same): log2(20 * len(ALL_STEPS)) for step in ALL_STEPS for same in (False, True)}
+    first = Repairer(Models(found, trigrams, flat))
+    counts, total = Counter(), 0
+    pages = list(zip(texts, declared or [None] * len(texts), strict=True))
+    for (_, text), name in pages[:: max(1, len(pages) // COST_PAGES)]:
+        for _, chain in first.lines(text, name).values():
+            counts.update((step, step[0] == charset(name)) for step in chain)
+        total += text.count("\n") + 1
+    costs = {key: -log2((counts[key] + 0.5) / (total + 1)) for key in flat}
+    return Models(found, trigrams, costs)
+
+
+def charset(name: str | None) -> str | None:
+    """One name for each charset."""
+    low = (name or "").strip().lower()
+    return _NAMES.get(low, low) or None
+
+
+class Repairer:
+    """Restores lines; holds a compressor for each language's dictionary and the trigram lengths of words seen before."""
+
+    def __init__(self, models: Models) -> None:
+        self.costs = models.costs
+        self.trigrams = np.full((1 << TRIGRAM_BITS, len(LANGUAGES)), UNSEEN, np.float32)
+        np.minimum.at(self.trigrams, models.trigrams[:2], models.trigrams[2])
+        self.compressors = []
+        for data in models.dictionaries.values():
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=3)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.least = np.array([min(self.costs[step, same] for same in (False, True)) for step in ALL_STEPS], np.float32)
+        self.words: dict[str, int] = {}
+        self.table = np.zeros((1024, len(ALL_STEPS) + 1, len(LANGUAGES)), np.float32)
+
+    def length(self, text: str) -> int:
+        """Bits of the text with the best dictionary."""
+        data = text.encode("utf-8", "replace")
+        return 8 * min(len(c.compress(data)) for c in self.compressors)
+
+    def _sums(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of the texts in the codes' last axis, by text and language."""
+        bits = self.trigrams[_hashes(codes)]
+        # a trigram over two texts' border begins in the one before: these are left out
+        bits[..., starts[1:] - 2, :] = bits[..., starts[1:] - 1, :] = 0
+        return np.add.reduceat(bits, starts, axis=-2)
+
+    def _learn(self, words: list[str]) -> None:
+        """Trigram lengths of new words: as they are, and after each step."""
+        n = len(self.words)
+        while n + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        part = self.table[n : n + len(words)]
+        codes, starts = _codes(words)
+        own = self._sums(codes, starts)
+        part[:, 0] = own
+        raw = _TO_BYTE[:, np.minimum(codes, 0xFFFF)]
+        part[:, [k + 1 for k in _PLAIN]] = self._sums(_OF_BYTE[_PLAIN_TO[:, None], raw[_PLAIN_FROM]], starts).transpose(1, 0, 2)
+        # UTF-8 is only where a leading byte and another one stand together; elsewhere all is lost
+        pairs = np.add.reduceat((raw[:, :-1] >= 0xC2) & (raw[:, 1:] >= 0x80) & (raw[:, 1:] < 0xC0), starts, axis=1)
+        texts, places = [], []
+        for k, (wrong, true, partly) in enumerate(ALL_STEPS):
+            if true == "utf-8":
+                part[:, k + 1] = own if partly else 2 * UNSEEN * np.diff(np.append(starts, len(codes)))[:, None]
+                for i in np.flatnonzero(pairs[SINGLE.index(wrong)]).tolist():
+                    done = undo(words[i], wrong, true, partly)
+                    if done:
+                        texts.append(done[0])
+                        places.append((i, k + 1))
+        if texts:
+            i, k = np.array(places).T
+            part[i, k] = self._sums(*_codes(texts))
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def gains(self, lines: list[str]) -> np.ndarray:
+        """For each line and step, the bits by which the trigrams of what the step gives are shorter."""
+        split = [[w for w in line.split(" ") if not w.isascii()] for line in lines]
+        if len(self.words) > MEMO:
+            self.words.clear()
+        new = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
+        if new:
+            self._learn(new)
+        at = np.array([self.words[w] for words in split for w in words])
+        starts = np.concatenate([[0], np.cumsum([len(words) for words in split])[:-1]])
+        best = np.add.reduceat(self.table[at], starts, axis=0).min(2)
+        return best[:, :1] - best[:, 1:]
+
+    def candidates(self, line: str, steps: list[Step]) -> dict[str, tuple[tuple[Step, ...], int]]:
+        """Every text that undoing a chain gives, with the chain and the characters it lost; ``steps``: the first ones to try."""
+        out: dict[str, tuple[tuple[Step, ...], int]] = {}
+        level = [(line, (), 0, steps)]
+        while level:
+            deeper = []
+            for text, chain, lost, tried in level:
+                for step in tried:
+                    if (done := undo(text, *step)) is None or done[0] == line or done[0] in out:
+                        continue
+                    out[done[0]] = (*chain, step), lost + done[1]
+                    # a text read wrongly twice shrinks each time it is undone, so this ends
+                    if step[1] == "utf-8" and len(done[0]) < len(text) and not done[0].isascii():
+                        deeper.append((done[0], (*chain, step), lost + done[1]))
+            worth = self.gains([x[0] for x in deeper]) >= self.least if deeper else ()
+            level = [(*x, [ALL_STEPS[k] for k in np.flatnonzero(row)]) for x, row in zip(deeper, worth, strict=True) if row.any()]
+        return out
+
+    def best(self, line: str, steps: list[Step], name: str | None) -> tuple[str, tuple[Step, ...]]:
+        """The candidate of least description length, and its chain (none: the line as it is)."""
+        size, out, used = self.length(line), line, ()
+        for text, (chain, lost) in self.candidates(line, steps).items():
+            cost = LOST_BITS * (lost + len(CONTROLS.findall(text))) + sum(self.costs[step, step[0] == name] for step in chain)
+            if cost < size and (n := self.length(text) + cost) < size:
+                size, out, used = n, text, chain
+        return out, used
+
+    def lines(self, text: str, declared: str | None = None) -> dict[int, tuple[str, tuple[Step, ...]]]:
+        """The lines that are garbled: their numbers, the text as it was, the chain."""
+        return self.fields([(text, declared)])[0]
+
+    def fields(self, texts: list[tuple[str, str | None]]) -> list[dict[int, tuple[str, tuple[Step, ...]]]]:
+        """The garbled lines of each (text, declared charset)."""
+        split = [[] if text.isascii() else text.split("\n") for text, _ in texts]
+        places = [(f, i) for f, lines in enumerate(split) for i, line in enumerate(lines) if not line.isascii()]
+        out: list[dict[int, tuple[str, tuple[Step, ...]]]] = [{} for _ in texts]
+        for lo in range(0, len(places), 4_000):
+            part = places[lo : lo + 4_000]
+            gains = self.gains([split[f][i] for f, i in part])
+            worth = gains >= self.least
+            for at in np.flatnonzero(worth.any(1)).tolist():
+                f, i = part[at]
+                steps = [ALL_STEPS[k] for k in np.flatnonzero(worth[at])]
+                done, chain = self.best(split[f][i], steps, charset(texts[f][1]))
+                if chain and self._outside(split[f][i], chain):
+                    out[f][i] = done, chain
+        for f, found in enumerate(out):
+            if found:
+                self._again(split[f], found)
+            if split[f] or "???" in texts[f][0]:
+                for i, line in enumerate(split[f] or texts[f][0].split("\n")):
+                    if i not in found and "???" in line and len(UNREADABLE.findall(line)) > 1:
+                        found[i] = line, ()
+        return out
+
+    def _again(self, lines: list[str], found: dict[int, tuple[str, tuple[Step, ...]]]) -> None:
+        """The other lines of a garbled field: a chain that is known there has no cost any more, it only may not be longer."""
+        known = [chain for chain, _ in Counter(chain for _, chain in found.values()).most_common()]
+        known += [((*chain[0][:2], not chain[0][2]), *chain[1:]) for chain in known if chain[0][1] == "utf-8"]
+        rest = [i for i, line in enumerate(lines) if i not in found and not line.isascii()]
+        if not rest:
+            return
+        gains = self.gains([lines[i] for i in rest])
+        firsts = [ALL_STEPS.index(chain[0]) for chain in known]
+        for i, gain in zip(rest, gains, strict=True):
+            size = None
+            for chain, k in zip(known, firsts, strict=True):
+                if gain[k] <= 0:
+                    continue
+                done, lost = lines[i], 0
+                for step in chain:
+                    if (more := undo(done, *step)) is not None:
+                        done, lost = more[0], lost + more[1]
+                size = self.length(lines[i]) if size is None else size
+                if done != lines[i] and self.length(done) + LOST_BITS * (lost + len(CONTROLS.findall(done))) <= size and self._outside(lines[i], chain):
+                    found[i] = done, chain
+                    break
+
+    def _outside(self, line: str, chain: tuple[Step, ...]) -> bool:
+        """Whether undoing the chain also shortens what stands outside the quoted samples."""
+        bare = QUOTED.sub("", line)
+        if bare == line:
+            return True
+        done, lost = bare, 0
+        for step in chain:
+            if (next_ := undo(done, *step)) is not None:
+                done, lost = next_[0], lost + next_[1]
+        return done != bare and self.length(done) < self.length(bare)
+
+    def texts(self, texts: list[tuple[str, str | None]]) -> list[tuple[str, int]]:
+        """Each (text, declared charset) with its garbled lines restored, and how many there were."""
+        out = []
+        for (text, _), found in zip(texts, self.fields(texts), strict=True):
+            if found:
+                lines = text.split("\n")
+                for i, (done, _) in found.items():
+                    lines[i] = done
+                text = "\n".join(lines)
+            out.append((text, len(found)))
+        return out
+
+    def text(self, text: str, declared: str | None = None) -> tuple[str, int]:
+        return self.texts([(text, declared)])[0]
+
+
+def _repair(batches: Iterator[pa.RecordBatch], models: Models | None) -> Iterator[pa.RecordBatch]:
+    repairer = Repairer(models) if models else None
     for batch in batches:
         pages, fields, texts, counts = [], [], [], []
-        for page, title, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for field, text in (("title", title), ("content", content)):
-                if text and models:
-                    done, n = repairer.text(text)
-                    if n:
-                        pages.append(page)
-                        fields.append(field)
-                        texts.append(done)
-                        counts.append(n)
+        for at in range(0, batch.num_rows if repairer else 0, 500):
+            part = batch.slice(at, 500)
+            rows = [
+                (page, field, text, declared)
+                for page, title, content, declared in zip(*(c.to_pylist() for c in part.columns), strict=True)
+                for field, text in (("title", title), ("content", content))
+                if text
+            ]
+            for (page, field, _, _), (done, n) in zip(rows, repairer.texts([row[2:] for row in rows]), strict=True):
+                if n:
+                    pages.append(page)
+                    fields.append(field)
+                    texts.append(done)
+                    counts.append(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(pages, pa.int64()), pa.array(fields, pa.string()), pa.array(texts, pa.string()), pa.array(counts, pa.int32())],
             ["page_id", "field", "restored", "lines"],
@@ -260,6 +441,7 @@ def _repair(batches: Iterator[pa.RecordBatch], models: dict[str, bytes]) -> Iter
 
 def garbled_fields(pages: DataFrame) -> DataFrame:
     """(page_id, field, restored, lines): fields with wrongly decoded lines, the text as it was before and how many lines."""
-    models = dictionaries([(lang, text) for lang, text, _ in labelled_pages(pages)])
-    rows = pages.select("page_id", "title", "content")
+    sample = labelled_pages(pages)
+    models = fit(sample, [row[3] for row in sample])
+    rows = pages.select("page_id", "title", "content", "encoding")
     return rows.mapInArrow(lambda batches: _repair(batches, models), "page_id bigint, field string, restored string, lines int")

@@ -19,12 +19,12 @@ class Models:
 
     def __init__(self, pages: DataFrame, *, lines: bool = False, languages: bool = False) -> None:
         sample = labelled_pages(pages)
-        self.dictionaries = encoding.dictionaries([(lang, text) for lang, text, _ in sample])
+        self.encoding = encoding.fit(sample, [row[3] for row in sample])
         self.top, self.direction = spam.fit(pages)
-        self.weights = body.fit(sample) if lines or languages else {}
+        self.weights = body.fit([row[:3] for row in sample]) if lines or languages else {}
         self.detector = None
         if languages:
-            texts = [(lang, "\n".join(x for _, x, keep in body.body_lines(text, html, self.weights) if keep)) for lang, text, html in sample]
+            texts = [(lang, "\n".join(x for _, x, keep in body.body_lines(text, html, self.weights) if keep)) for lang, text, html, _ in sample]
             self.detector = language.fit(texts)
 
 
@@ -33,7 +33,7 @@ def _pass(models: Models, schema: pa.Schema, per_page: Callable) -> Callable[[It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = {
-            "repairer": encoding.Repairer(models.dictionaries) if models.dictionaries else None,
+            "repairer": encoding.Repairer(models.encoding) if models.encoding else None,
             "judge": spam.Judge(models.top, models.direction),
             "weights": models.weights,
             "detector": language.Detector(models.detector) if models.detector is not None else None,
@@ -41,11 +41,11 @@ def _pass(models: Models, schema: pa.Schema, per_page: Callable) -> Callable[[It
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 columns = defaultdict(list)
-                for row in batch.slice(at, 500).to_pylist():
-                    text = row["content"]
-                    if not text or text.isspace():
-                        continue
-                    restored = tools["repairer"].text(text)[0] if tools["repairer"] else text
+                rows = [row for row in batch.slice(at, 500).to_pylist() if row["content"] and not row["content"].isspace()]
+                texts = [(row["content"], row["encoding"]) for row in rows]
+                if tools["repairer"]:
+                    texts = tools["repairer"].texts(texts)
+                for row, (restored, _) in zip(rows, texts, strict=True):
                     for out in per_page(row, restored, tools):
                         for name, value in zip(schema.names, out, strict=True):
                             columns[name].append(value)
@@ -101,7 +101,7 @@ def _segment_rows(row: dict, restored: str, tools: dict) -> list[tuple]:
 
 
 def _run(pages: DataFrame, models: Models, schema: pa.Schema, per_page: Callable, ddl: str, *columns: str) -> DataFrame:
-    return pages.where("content is not null").select("page_id", "content", *columns).mapInArrow(_pass(models, schema, per_page), ddl)
+    return pages.where("content is not null").select("page_id", "content", "encoding", *columns).mapInArrow(_pass(models, schema, per_page), ddl)
 
 
 def spam_shares(pages: DataFrame) -> DataFrame:

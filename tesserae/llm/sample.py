@@ -26,11 +26,11 @@ def label(language: Column) -> Column:
     return F.when(base.isin(*LANGUAGES), base).otherwise(spelled[name])
 
 
-def labelled_pages(pages: DataFrame, size: int = SAMPLE_PAGES) -> list[tuple[str, str, str | None]]:
-    """(language, content, html_content) of about ``size`` labelled pages: those whose id's hash is below a bound that
+def labelled_pages(pages: DataFrame, size: int = SAMPLE_PAGES) -> list[tuple[str, str, str | None, str | None]]:
+    """(language, content, html_content, encoding) of about ``size`` labelled pages: those whose id's hash is below a bound that
     follows from the number of pages, so that what is sampled keeps its size when the data grow."""
     bound = int(2**31 * min(1.0, size / max(1, pages.count())))
     rows = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(2**31)) < bound)
-    rows = rows.select("page_id", label(F.col("language")).alias("lang"), "content", "html_content")
+    rows = rows.select("page_id", label(F.col("language")).alias("lang"), "content", "html_content", "encoding")
     table = rows.where("lang is not null and length(trim(content)) > 0").drop("page_id").toArrow()
     return sorted(zip(*(c.to_pylist() for c in table.columns), strict=True), key=lambda r: (r[0], r[1]))

@@ -19,7 +19,7 @@ def test_copied_list_is_spam(spark, numbered):
     rows = []
     for i in range(240):
         content = (f"{i} {tags} {i}" if numbered else tags) if i % 3 == 0 else make(rng, i, "en" if i % 2 else "ru")[0]
-        rows.append([i, "title", content, None, f"s{i % 4}", None, "clash"])
+        rows.append([i, "title", content, None, f"s{i % 4}", None, "clash", None, None])
     found = {r.page_id for r in page_pass.spam_pages(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == set(range(0, 240, 3))
 

@@ -12,7 +12,7 @@ import pytest
 from tesserae.llm import body, encoding, html_tree, language, markup, page_pass, sample, spam
 
 DATA = Path("/root/testdata/sf0.01/pages.parquet")
-PAGES = "page_id bigint, title string, content string, html_content string, domain string, language string, lang string"
+PAGES = "page_id bigint, title string, content string, html_content string, domain string, language string, lang string, encoding string, links array<string>"
 
 NOUNS = {"en": "river house garden letter window teacher market bridge winter story", "ru": "река дом сад письмо окно учитель рынок мост зима рассказ"}
 OPEN = {
@@ -52,7 +52,7 @@ def pages(spark):
     for i in range(120):
         lang = "en" if i % 2 else "ru"
         content, html = make(rng, i, lang)
-        rows.append([i, "title", content, html if i % 5 else None, f"s{i % 4}", {"en": "English", "ru": "ru-RU"}[lang], "clash"])
+        rows.append([i, "title", content, html if i % 5 else None, f"s{i % 4}", {"en": "English", "ru": "ru-RU"}[lang], "clash", None, None])
     rows[10][5] = None  # no label
     rows[11][5] = "ru"  # a wrong one
     rows[12][2] = rows[12][2] + "\n" + sentences("en", rng, 4)  # two languages
@@ -65,7 +65,7 @@ def pages(spark):
     rows[16][1] = "Новый заголовок страницы".encode().decode("cp1251", "replace")
     rows[17][2] = rows[17][2] + "\nHe wrote the word «Ð¡Ð»Ð¾Ð²Ð¾» as an example of a wrong table."
     for k, content in enumerate([None, "", "  \n ", "x", "слово " * 30_000, "\n" * 100]):
-        rows.append([500 + k, None, content, None, None, None, "clash"])
+        rows.append([500 + k, None, content, None, None, None, "clash", "koi8-r", []])
     return spark.createDataFrame(rows, PAGES)
 
 
@@ -116,7 +116,7 @@ CHAINS = [("utf-8", "cp1251"), ("utf-8", "latin-1"), ("utf-8", "koi8-r"), ("utf-
 @pytest.fixture(scope="module")
 def repairer():
     rng = random.Random(2)
-    return encoding.Repairer(encoding.dictionaries([(lang, sentences(lang, rng, 1)) for lang in ("ru", "en") for _ in range(300)]))
+    return encoding.Repairer(encoding.fit([(lang, sentences(lang, rng, 1)) for lang in ("ru", "en") for _ in range(300)]))
 
 
 @pytest.mark.parametrize(("true", "wrong"), CHAINS)
