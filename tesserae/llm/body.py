@@ -13,7 +13,8 @@ without a page that has html_content to learn from, lines without a block count
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import Counter
 from zlib import crc32
 
 from tesserae.llm.html_tree import main_body, parse
@@ -30,7 +31,7 @@ def features(line: str, at: float) -> list[int]:
     """Hashed features of a line: its words, its first and last ones, its shape and its place."""
     text = _SPACE.sub(" ", line).strip()
     words = _WORD.findall(_DIGITS.sub("0", text.lower()))
-    out = [*{"w" + w for w in words[:60]}, "1" + " ".join(words[:1]), "2" + " ".join(words[:2]), "3" + " ".join(words[:3]), "9" + " ".join(words[-2:])]
+    out = [*{"w" + w for w in words}, "1" + " ".join(words[:1]), "2" + " ".join(words[:2]), "3" + " ".join(words[:3]), "9" + " ".join(words[-2:])]
     out.append(f"n{min(len(words), 40) // 4}")
     out.append(f"p{bool(SENTENCE.search(text))}{text[:1].isupper()}{text.isupper()}")
     out.append(f"a{int(at * 5)}{len(words) < 6}")
@@ -61,13 +62,55 @@ def by_tree(lines: list[str], html: str) -> list[bool | None]:
     if len(texts) == len(lines):
         return list(kept)
     out: list[bool | None] = [None] * len(lines)
-    a, b = [normal(x) for x in lines], [normal(x) for x in texts]
-    if len(a) * len(b) > 4_000_000:  # very long pages: by text alone
-        known = dict(zip(b, kept, strict=True))
-        return [known.get(x) for x in a]
-    for i, j, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        for k in range(n):
-            out[i + k] = kept[j + k]
+    for i, j in same_lines([normal(x) for x in lines], [normal(x) for x in texts]):
+        out[i] = kept[j]
+    return out
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs (rising in the first place) that rises in the second place, too."""
+    ends: list[int] = []  # smallest last second place for each length
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(ends, j)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(j)
+            at.append(k)
+        else:
+            ends[n], at[n] = j, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def same_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal lines in the same order, in n log n at any length: lines that both texts hold once are anchors; between
+    two anchors the first occurrence of a line goes with the first one there, the second with the second, and so on."""
+    once_a, once_b = Counter(a), Counter(b)
+    where = {x: j for j, x in enumerate(b) if once_b[x] == 1}
+    anchors = _rising([(i, where[x]) for i, x in enumerate(a) if once_a[x] == 1 and x in where])
+    out = []
+    i0 = j0 = 0
+    for i1, j1 in [*anchors, (len(a), len(b))]:
+        seen: Counter = Counter()
+        places = {}
+        for j in range(j0, j1):
+            seen[b[j]] += 1
+            places[b[j], seen[b[j]]] = j
+        seen.clear()
+        pairs = []
+        for i in range(i0, i1):
+            seen[a[i]] += 1
+            if (j := places.get((a[i], seen[a[i]]))) is not None:
+                pairs.append((i, j))
+        out += _rising(pairs)
+        if i1 < len(a):
+            out.append((i1, j1))
+        i0, j0 = i1 + 1, j1 + 1
     return out
 
 

@@ -20,7 +20,7 @@ class Models:
     def __init__(self, pages: DataFrame, *, lines: bool = False, languages: bool = False) -> None:
         sample = labelled_pages(pages)
         self.encoding = encoding.fit(sample, [row[3] for row in sample])
-        self.top, self.direction = spam.fit(pages)
+        self.top, self.pmi = spam.fit(pages)
         self.weights = body.fit([row[:3] for row in sample]) if lines or languages else {}
         self.detector = None
         if languages:
@@ -34,7 +34,7 @@ def _pass(models: Models, schema: pa.Schema, per_page: Callable) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = {
             "repairer": encoding.Repairer(models.encoding) if models.encoding else None,
-            "judge": spam.Judge(models.top, models.direction),
+            "judge": spam.Judge(models.top, models.pmi),
             "weights": models.weights,
             "detector": language.Detector(models.detector) if models.detector is not None else None,
         }
@@ -62,11 +62,11 @@ _SEGMENTS = pa.schema([("page_id", pa.int64()), ("segment", pa.int32()), ("lang"
 
 
 def _share(row: dict, restored: str, tools: dict) -> list[tuple]:
-    return [(row["page_id"], tools["judge"].share(restored))]
+    return [(row["page_id"], tools["judge"].share(restored, spam.links_out(row["links"], row["domain"])))]
 
 
 def _body(row: dict, restored: str, tools: dict) -> list[tuple[int, str, bool]] | None:
-    if tools["judge"].spam(restored):
+    if tools["judge"].spam(restored, spam.links_out(row["links"], row["domain"])):
         return None
     return body.body_lines(row["content"], row["html_content"], tools["weights"], restored)
 
@@ -91,8 +91,8 @@ def _languages(row: dict, restored: str, tools: dict) -> list[tuple]:
     for lang, confidence, text in _segments(row, restored, tools):
         chars[lang] += len(text)
         sure[lang] += confidence * len(text)
-    large = [x for x in chars if chars[x] >= MIN_LANGUAGE_CHARS]
-    return [(row["page_id"], x, chars[x], sure[x] / chars[x], row["label"], len(large)) for x in sorted(large)]
+    large = sum(n >= MIN_LANGUAGE_CHARS for n in chars.values())
+    return [(row["page_id"], x, chars[x], sure[x] / chars[x], row["label"], large) for x in sorted(chars)]
 
 
 def _segment_rows(row: dict, restored: str, tools: dict) -> list[tuple]:
@@ -101,7 +101,7 @@ def _segment_rows(row: dict, restored: str, tools: dict) -> list[tuple]:
 
 
 def _run(pages: DataFrame, models: Models, schema: pa.Schema, per_page: Callable, ddl: str, *columns: str) -> DataFrame:
-    return pages.where("content is not null").select("page_id", "content", "encoding", *columns).mapInArrow(_pass(models, schema, per_page), ddl)
+    return pages.where("content is not null").select("page_id", "content", "encoding", "domain", "links", *columns).mapInArrow(_pass(models, schema, per_page), ddl)
 
 
 def spam_shares(pages: DataFrame) -> DataFrame:
@@ -129,15 +129,15 @@ def _labelled(pages: DataFrame) -> DataFrame:
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
-    """(page_id, lang, chars, confidence, labelled, languages): each language with enough sentences in a page's body, the
-    label's language (null: none or none of the six) and the number of such languages."""
+    """(page_id, lang, chars, confidence, labelled, languages): each language with sentences in a page's body, the label's
+    language (null: none or none of the six) and the number of languages with MIN_LANGUAGE_CHARS characters or more."""
     ddl = "page_id bigint, lang string, chars int, confidence double, labelled string, languages int"
     return _run(_labelled(pages), Models(pages, languages=True), _LANGS, _languages, ddl, "html_content", "label")
 
 
 def relabelled_pages(pages: DataFrame) -> DataFrame:
     """(page_id, lang) of pages without a right label and of pages in two languages."""
-    found = page_languages(pages)
+    found = page_languages(pages).where(f"chars >= {MIN_LANGUAGE_CHARS}")
     return found.where("languages > 1 or labelled is null or labelled <> lang").select("page_id", "lang")
 
 

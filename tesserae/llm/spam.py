@@ -2,16 +2,19 @@
 
 Method: pointwise mutual information of neighbouring words from counts over the whole corpus. Words are the TOP most
 frequent ones and, for all others, classes by shape and ending, so that the table of neighbours has a fixed size at any
-size of the corpus and counts all of it. Copies would make a list's own neighbours frequent in its own order: lines are cut
-into pieces where their words say so, and each distinct piece of the corpus is counted once, however many rows hold it and
-whatever stands around it; neighbours found in one piece only say nothing. Words that share a topic attract each other in either order, only sentences
-have a direction: a block's coherence is the mean PMI of its neighbours as they stand less the mean PMI of the same
-neighbours turned round. A block is spam if it has no direction (word salad) or if few of its neighbours are distinct
-(repeated collocations, link lists); a page is if such blocks hold half of its characters. Long lines are blocks, short
-lines that follow each other are joined; code is left out.
-
-Defined results: null, empty and blank pages aren't spam; a page shorter than MIN_WORDS words is never flagged;
-garbled pages are judged by their restored text.
+size of the corpus and counts all of it. Copies would make a list's own neighbours frequent: lines are cut into pieces where
+their words say so, and each distinct piece of the corpus is counted once, however many rows hold it and whatever stands
+around it; neighbours found in one piece only say nothing.
+
+A page is cut into blocks (a long line, short lines that follow each other) of about WINDOW words. The mean PMI of a
+block's neighbours is compared with the mean PMI that its words have at other distances: words that share a topic attract each
+other anywhere in it, but only sentences bind neighbours more. A block is spam if its neighbours gain less than GAIN by being
+neighbours (word salad), or if too many of its neighbours are repeated collocations, pairs of positive PMI that stood in the
+block before (keywords, link lists). Short lines that are as many as the page's links to other sites (``links``) must gain
+more. An address is one word. Program code (lines of its shape) isn't judged. A page is spam if such blocks hold half of its characters.
+
+Defined results: null, empty and blank pages aren't spam; a block shorter than MIN_WORDS words is never flagged;
+garbled pages are judged by their restored text; null links are none.
 """
 
 from __future__ import annotations
@@ -27,16 +30,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.counts import most_frequent
+from tesserae.llm.markup import CODE
 from tesserae.plans.shared import materialize
 
-TOP, NAMES, ENDINGS = 768, 7, 248
-CLASSES = TOP + 1 + NAMES + ENDINGS  # 1024
+TOP, NAMES, ENDINGS = 768, 7, 247
+CLASSES = TOP + 2 + NAMES + ENDINGS  # 1024
 SMOOTH = 1e-8  # of all neighbours
 LONG_LINE, MIN_WORDS = 20, 12
-DIRECTION, DISTINCT, DISTINCT_SENTENCES, SHARE = 1.05, 0.6, 0.35, 0.5
+GAIN, LINKED_GAIN = 1.5, 2.2  # nats
+REPEATED, REPEATED_SENTENCES, SHARE = 0.38, 0.65, 0.5
+WINDOW, DISTANCES = 256, 6
 WORDS, LETTERS, DIGITS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
-CODE = re.compile(r"[;{}=<>\\]|\)\s*$|\w\(")
-ENDS = (".", "!", "?", "…", ":")
+ENDED = re.compile(r"[.!?…:](?:[\"'»”’)\]}*_`~]|</?\w+>)*$")  # a sentence's end, perhaps inside marks
+URL, LINK = re.compile(r"(?:https?|ftp)://[^\s<>\"|,;]+"), "Xlink"  # the addresses' own class
+#: A line without any of these is no code.
+CODE_HINT = re.compile(
+    r"[(\[{}<;=]|->|&&|\|\||::|^\s*(?:if|elif|else|while|for|class|with|try|return|import|from|select|cd|break|continue|pass|end|fi|done)\b", re.I
+)
+#: Program code by its shape: calls, indices, blocks, operators between blanks, statements of one word.
+CODE_LINE = re.compile(
+    CODE.pattern + r"|\w\([^()]*\)|\w\[\w|[{}]\s*$|\s(?:[-+*/%&|<>=!]?=|->|&&|\|\|)\s|\w::\w|^\s*(?:return|else|try|break|continue|pass|end|fi|done)\b[^.,]{0,40}$", re.I
+)
 WORD_BLOCK = 300_000
 PIECE = 8  # words of a piece, on average
 
@@ -45,7 +59,7 @@ def pieces(text: str, memo: dict[str, int]) -> Iterator[str]:
     """The lines' words in pieces that end after some neighbours, chosen by a hash of the two: equal runs of words have equal
     pieces in any line, whatever their numbers are (one class). A piece that goes on from another begins with a blank and that
     one's last word, so every neighbour is in one."""
-    for line in DIGITS.sub("0", text).split("\n"):
+    for line in DIGITS.sub("0", without_links(text)).split("\n"):
         found = WORDS.findall(line)
         if not found:
             continue
@@ -94,6 +108,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def without_links(text: str) -> str:
+    """The text with one word in place of every address."""
+    return URL.sub(LINK, text) if "://" in text else text
+
+
 class Coder:
     """Words to classes; remembers what it has seen, up to a bound."""
 
@@ -103,7 +122,9 @@ class Coder:
 
     def _class(self, word: str) -> int:
         low = word.lower()
-        if (i := self.top.get(low)) is not None:
+        if word == LINK:
+            code = CLASSES - 1
+        elif (i := self.top.get(low)) is not None:
             code = i
         elif word[0].isdigit():
             code = TOP
@@ -140,7 +161,7 @@ def _count_neighbours(top: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def fit(pages: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The most frequent words and, for each pair of classes, its PMI less that of the pair turned round.
+    """The most frequent words and the PMI of each pair of classes.
 
     Both tables have a fixed size; every page is counted, equal pieces of pages once."""
     texts = materialize(pages.where("content is not null").select("content").mapInArrow(_cut, "piece string").distinct(), "pieces")
@@ -154,53 +175,77 @@ def fit(pages: DataFrame) -> tuple[list[str], np.ndarray]:
     expected = counts.sum(1)[:, None] * counts.sum(0)[None, :] / total
     # one occurrence of every pair is taken off: a block's own neighbours are no evidence for it
     pmi = np.log((np.maximum(counts - 1, 0) + SMOOTH * total) / (expected + SMOOTH * total))
-    return top, (pmi - pmi.T).astype(np.float32)
+    return top, pmi.astype(np.float32)
 
 
 class Judge:
     """Scores pages; made from what ``fit`` returns."""
 
-    def __init__(self, top: list[str], direction: np.ndarray) -> None:
-        self.coder, self.flat = Coder(top), direction.reshape(-1)
-
-    def block(self, lines: list[str], sentences: bool) -> bool:
-        c = self.coder.codes(" ".join(lines))
-        if len(c) < MIN_WORDS:
-            return False
-        pairs = c[:-1] * CLASSES + c[1:]
-        distinct = len(set(pairs.tolist())) / len(pairs)
-        if distinct < (DISTINCT_SENTENCES if sentences else DISTINCT):
-            return True
-        return float(self.flat[pairs].mean()) < DIRECTION
-
-    def share(self, text: str) -> float:
-        """The part of the text's characters that lies in spam blocks."""
-        total = spam = 0
-        short: list[str] = []
-        ended: list[str] = []
-
-        def close() -> int:
-            n = sum(map(len, short)) if short and self.block(short, False) else 0
-            n += sum(map(len, ended)) if ended and self.block(ended, True) else 0
-            short.clear()
-            ended.clear()
+    def __init__(self, top: list[str], pmi: np.ndarray) -> None:
+        self.coder, self.flat = Coder(top), pmi.reshape(-1)
+
+    def gain(self, codes: np.ndarray) -> tuple[float, float]:
+        """By how much the mean PMI of the words' neighbours exceeds that of the same words at other distances, and the share
+        of neighbours that are repeated collocations."""
+        n = len(codes)
+        at = codes * CLASSES
+        pairs = at[:-1] + codes[1:]
+        pmi = self.flat[pairs]
+        steps = [2 + k * (n - 3) // (DISTANCES + 1) for k in range(1, DISTANCES + 1)]
+        twice = np.concatenate([codes, codes])
+        others = self.flat[np.concatenate([at + twice[d : d + n] for d in steps])]
+        order = pairs.argsort(kind="stable")
+        ordered = pairs[order]
+        again = pmi[order[1:]][ordered[1:] == ordered[:-1]]
+        return float(pmi.sum() / (n - 1) - others.sum() / len(others)), float((again > 0).sum() / (n - 1))
+
+    def block(self, lines: list[str], kind: str, linked: bool = False) -> float:
+        """The share of the block that is spam; kind: ``long``, ``short`` or ``ended`` (sentences)."""
+        c = self.coder.codes(without_links(" ".join(lines)))
+        n = len(c)
+        if n < MIN_WORDS:
+            return 0.0
+        spam = 0
+        for part in np.array_split(c, round(n / WINDOW)) if n > 1.5 * WINDOW else (c,):
+            gain, repeated = self.gain(part)
+            least = LINKED_GAIN if linked and kind == "short" else GAIN
+            most = REPEATED_SENTENCES if kind == "ended" else REPEATED
+            if gain < least or repeated >= most:
+                spam += len(part)
+        return spam / n
+
+    def share(self, text: str, links: int = 0) -> float:
+        """The part of the text's characters that lies in spam blocks; ``links``: how many links to other sites the page has."""
+        lines = [x for x in map(str.strip, text.split("\n")) if x]
+        total = sum(map(len, lines))
+        open_: dict[str, list[str]] = {"short": [], "ended": []}
+        spam = 0.0
+        linked = 0 < sum(x.count(" ") < LONG_LINE for x in lines) <= links
+
+        def close() -> float:
+            n = 0.0
+            for kind, block in open_.items():
+                if block:
+                    n += sum(map(len, block)) * self.block(block, kind, linked)
+                    block.clear()
             return n
 
-        for raw in text.split("\n"):
-            line = raw.strip()
-            if not line:
+        for line in lines:
+            if CODE_HINT.search(line) and CODE_LINE.search(without_links(line)):
                 continue
-            total += len(line)
             if line.count(" ") >= LONG_LINE:
-                spam += close()
-                if self.block([line], False):
-                    spam += len(line)
-            elif line.endswith(ENDS):
-                ended.append(line)
-            elif not CODE.search(line):
-                short.append(line)
+                spam += close() + len(line) * self.block([line], "long")
+            else:
+                open_["ended" if ENDED.search(line) else "short"].append(line)
         spam += close()
         return spam / total if total else 0.0
 
-    def spam(self, text: str) -> bool:
-        return self.share(text) >= SHARE
+    def spam(self, text: str, links: int = 0) -> bool:
+        return self.share(text, links) >= SHARE
+
+
+def links_out(links: list[str | None] | None, domain: str | None) -> int:
+    """How many of a page's links lead to other sites."""
+    own = (domain or "").lower().removeprefix("www.")
+    hosts = [(x or "").partition("//")[2].partition("/")[0].lower().removeprefix("www.") for x in links or ()]
+    return sum(1 for h in hosts if h and h != own)

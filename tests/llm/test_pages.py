@@ -174,6 +174,23 @@ def test_lines_align_by_text():
     assert got == [False, None, True, True]
 
 
+def test_same_lines():
+    rng = random.Random(3)
+    b = [rng.choice("abcdefgh") + (str(i) if rng.random() < 0.5 else "") for i in range(300)]
+    a = [x for x in b if rng.random() < 0.9]
+    pairs = body.same_lines(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p < q for x, y in zip(pairs, pairs[1:], strict=False) for p, q in zip(x, y, strict=True))
+    assert len(pairs) > 0.8 * len(a) and body.same_lines(b, b) == [(i, i) for i in range(300)]
+    assert body.same_lines([], b) == body.same_lines(a, []) == [] and body.same_lines(["x"] * 5, ["x"] * 3) == [(0, 0), (1, 1), (2, 2)]
+    # very long pages take the same way
+    began = time.perf_counter()
+    assert len(body.same_lines(["menu", "x"] * 50_000, ["menu", "x"] * 50_000)) == 100_000 and time.perf_counter() - began < 5
+    # a body line that the footer repeats stays what its place makes it
+    html = "<body><div class=b><p>First paragraph, with commas, of the page.</p><p>Repeated line, with commas, too, of the page.</p></div><div class=f><a href=/>Repeated line, with commas, too, of the page.</a></div>"
+    got = body.by_tree(["not in html", "First paragraph, with commas, of the page.", *["Repeated line, with commas, too, of the page."] * 2, "nor this"], html)
+    assert got == [None, True, True, False, None]
+
+
 KINDS = {
     "<p>a</p>": {"html"}, "a &nbsp; b": {"html"}, "<!-- x --> a": {"html"}, "a<br/>b": {"html"}, "&lt;p&gt;": {"html"},
     "== Head ==": {"wiki"}, "[[a|b]] c": {"wiki"}, "{{s|x}}": {"wiki"}, "''it'' b": {"wiki"}, "a<ref name=\"k\">x</ref>": {"wiki"}, "<nowiki>a[1] = b;</nowiki>": {"wiki"}, "{| class=x": {"wiki"},
