@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -12,6 +13,7 @@ from tesserae.functions import stem, text
 from tesserae.operators import frontier, search, zipf
 from tesserae.operators.index import Index, build_statistics, first_of_url, token_positions, token_rows, token_statistics
 from tesserae.plans import query as ql
+from tesserae.plans.shared import is_written, shared_dir, written
 from tesserae.sources import lines, pages
 from tesserae.streaming.ingest import event_windows
 
@@ -37,8 +39,18 @@ def _index(spark: SparkSession, sf_dir: str) -> Index:
     return Index.build(_docs(spark, sf_dir))
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def _search(spark: SparkSession, sf_dir: str) -> search.Search:
-    return search.Search(_index(spark, sf_dir))
+    """Searches read saved postings; a folder's index is written once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if not is_written(spark, _SAVED.get(key, "")):
+        path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+        _index(spark, sf_dir).save(path)
+        written(spark, path)
+        _SAVED[key] = path
+    return search.Search(Index.load(spark, _SAVED[key]))
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -131,6 +143,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return token_rows(_corpus(spark, d), text.DEFAULT.with_stop_words(*words)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_add(
+    "stopword_builtin",
+    f"""{_TOKENS} SELECT term, count(*) AS n FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in text.RUSSIAN_STOP_WORDS)}) GROUP BY term""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return token_rows(_corpus(spark, d), text.DEFAULT.with_stop_words(*text.RUSSIAN_STOP_WORDS)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_add("remove_numbers", f"WITH {_tok('documents', 'doc_id', 'text', "regexp_replace(lower(raw), '[0-9]', '', 'g')")} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms FROM tok GROUP BY doc_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = token_rows(_corpus(spark, d), text.TokenizerConfig(remove_numbers=True))
@@ -383,9 +403,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d).detailed("сервер || корпус")
 
 
-@_add("result_bitmap", f"{_IDX} SELECT CAST((doc_id - 1) // 32768 + 1 AS BIGINT) AS bucket, count(*) AS n FROM idocs WHERE doc_id > 0 AND {_has('индекс')} GROUP BY 1")
+@_add("result_bitmap", f"{_IDX} SELECT CAST(CASE WHEN doc_id > 0 THEN (doc_id - 1) // 32768 + 1 ELSE doc_id // 32768 END AS BIGINT) AS bucket, count(*) AS n FROM idocs WHERE {_has('индекс')} GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return search.result_bitmaps(_search(spark, d).matching("индекс").where("doc_id > 0")).select("bucket", "n")
+    return search.result_bitmaps(_search(spark, d).matching("индекс")).select("bucket", "n")
 
 
 @_add("bool_xor", _bool_sql(f"({_has('новый')}) <> ({_has('индекс')})"))
@@ -670,7 +690,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @_add(
     "html_links",
     """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html_content, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS link FROM pages WHERE html_content IS NOT NULL)
-WHERE length(trim(link)) > 0 AND NOT regexp_matches(lower(link), '^(?:#|javascript:|mailto:|tel:)') AND NOT regexp_matches(lower(link), '\\.(?:jpg|jpeg|png|gif|svg|css|js|pdf|zip|rar|exe|mp3|mp4|avi|doc)(?:[?#].*)?$') GROUP BY page_id, link""",
+WHERE length(trim(link)) > 0 AND NOT regexp_matches(lower(link), '^(?:#|javascript:|mailto:|tel:)') AND NOT regexp_matches(lower(link), '\\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar|tar|gz|jpg|jpeg|png|gif)$') GROUP BY page_id, link""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     found = _table(spark, d, "pages").where("html_content is not null").select("page_id", F.explode(pages.html_links(F.col("html_content"))).alias("link"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,41 +37,55 @@ VERB_2 = "ейте|уйте|ила|ыла|ена|ите|или|ыли|ило|ы
 NOUN = "иями|ями|ами|ией|иям|ием|иях|ев|ов|ие|ье|еи|ии|ей|ой|ий|ям|ем|ам|ом|ах|ях|ию|ью|ия|ья|а|е|и|й|о|у|ы|ь|ю|я"
 
 
-def stem_russian(word: Column) -> Column:
-    """Snowball stem of a Russian word; words without a Russian vowel stay as they are, lower-cased."""
-    w = F.regexp_replace(F.lower(word), "ё", "е")
-    head = F.regexp_extract(w, f"^[^{VOWELS}]*[{VOWELS}]", 0)
-    rv = F.substring(w, F.length(head) + 1, F.length(w))
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of the value, which is computed once however often it stands there; the generated code stays short."""
+    return F.get(F.transform(F.array(value), use), 0)
+
 
-    def cut(c: Column, pattern: str) -> Column:
-        return F.regexp_replace(c, pattern, "")
+def _cut(c: Column, pattern: str) -> Column:
+    return F.regexp_replace(c, pattern, "")
 
+
+def _first_step(rv: Column) -> Column:
+    """A gerund, or else the reflexive ending and one of adjective, verb and noun."""
     gerund = f"(?:(?<=[ая])(?:{GERUND_1})|(?:{GERUND_2}))$"
-    # step 1: a gerund, or else the reflexive ending and one of adjective, verb and noun
-    calm = cut(rv, "(?:ся|сь)$")
     adjective = f"(?:{ADJECTIVE})$"
     participle = f"(?:(?<=[ая])(?:{PARTICIPLE_1})|(?:{PARTICIPLE_2}))$"
     verb = f"(?:(?<=[ая])(?:{VERB_1})|(?:{VERB_2}))$"
-    first = (
-        F.when(rv.rlike(gerund), cut(rv, gerund))
-        .when(calm.rlike(adjective), cut(cut(calm, adjective), participle))
-        .when(calm.rlike(verb), cut(calm, verb))
-        .otherwise(cut(calm, f"(?:{NOUN})$"))
-    )
-    second = cut(first, "и$")
-    # step 3 needs the region after the second vowel and consonant
-    whole = F.concat(head, second)
-    before = F.regexp_extract(w, f"^.*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]", 0)
-    derived = F.when(
-        (F.length(before) > 0) & F.substring(whole, F.length(before) + 1, F.length(whole)).rlike("ость?$"), cut(second, "ость?$")
-    ).otherwise(second)
-    # step 4: one n of two, a superlative (then an n too), or a soft sign
-    last = (
-        F.when(derived.rlike("нн$"), cut(derived, "н$"))
-        .when(derived.rlike("(?:ейше|ейш)$"), F.regexp_replace(cut(derived, "(?:ейше|ейш)$"), "нн$", "н"))
-        .otherwise(cut(derived, "ь$"))
-    )
-    return F.when(F.length(head) == 0, w).otherwise(F.concat(head, last))
+
+    def calm(c: Column) -> Column:
+        return F.when(c.rlike(adjective), _cut(_cut(c, adjective), participle)).when(c.rlike(verb), _cut(c, verb)).otherwise(_cut(c, f"(?:{NOUN})$"))
+
+    return F.when(rv.rlike(gerund), _cut(rv, gerund)).otherwise(_with(_cut(rv, "(?:ся|сь)$"), calm))
+
+
+def _last_step(c: Column) -> Column:
+    """One n of two, a superlative (then an n too), or a soft sign."""
+    superlative = "(?:ейше|ейш)$"
+    return F.when(c.rlike("нн$"), _cut(c, "н$")).when(c.rlike(superlative), F.regexp_replace(_cut(c, superlative), "нн$", "н")).otherwise(_cut(c, "ь$"))
+
+
+def stem_russian(word: Column) -> Column:
+    """Snowball stem of a Russian word; words without a Russian vowel stay as they are, lower-cased; null stays null."""
+
+    def stem(w: Column) -> Column:
+        head = F.regexp_extract(w, f"^[^{VOWELS}]*[{VOWELS}]", 0)
+        # the third step needs the region after the second vowel and consonant
+        before = F.length(F.regexp_extract(w, f"^.*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]", 0))
+
+        def rest(p: Column) -> Column:
+            rv = F.substring(w, F.length(p.head) + 1, F.length(w))
+
+            def derived(second: Column) -> Column:
+                region = F.substring(F.concat(p.head, second), p.before + 1, F.length(w))
+                return F.when((p.before > 0) & region.rlike("ость?$"), _cut(second, "ость?$")).otherwise(second)
+
+            done = _with(_with(_cut(_with(rv, _first_step), "и$"), derived), _last_step)
+            return F.when(F.length(p.head) == 0, w).otherwise(F.concat(p.head, done))
+
+        return _with(F.struct(head.alias("head"), before.alias("before")), rest)
+
+    return _with(F.regexp_replace(F.lower(word), "ё", "е"), stem)
 
 
 def stem_statistics(words: DataFrame, column: str = "word") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import DEFAULT, TokenizerConfig, kept, normalize, segments, tokens
-from tesserae.plans.shared import shared_dir
+from tesserae.plans.shared import shared_dir, written
 
 
 def first_of_url(docs: DataFrame) -> DataFrame:
@@ -38,9 +38,16 @@ def token_positions(docs: DataFrame, cfg: TokenizerConfig = DEFAULT, text: str =
 
 
 def postings_of(docs: DataFrame, cfg: TokenizerConfig = DEFAULT) -> DataFrame:
-    """(term, doc_id, tf, positions): one shuffle by term and document, so that a frequent term is spread over all tasks."""
-    rows = token_rows(docs, cfg).groupBy("term", "doc_id")
-    return rows.agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("ord")).alias("positions"))
+    """(term, doc_id, tf, positions): a document is one row, so its postings are made inside it, without a shuffle. Its tokens
+    are sorted by term and place; where a term begins, the places up to the next one are its positions."""
+    placed = F.transform(tokens(F.col("content"), cfg), lambda t, i: F.struct(t.alias("term"), i.alias("ord")))
+    rows = docs.select("doc_id", F.sort_array(placed).alias("s")).where(F.size("s") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i).term != F.get("s", i - 1).term))
+    rows = rows.withColumn("at", first).withColumn("places", F.col("s.ord")).withColumn("terms", F.transform("at", lambda i: F.get("s", i).term))
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("places"))
+    post = F.transform("at", lambda i, k: F.struct(F.get("terms", k).alias("term"), F.slice("places", i + 1, end(k) - i).alias("positions")))
+    rows = rows.select("doc_id", F.explode(post).alias("p"))
+    return rows.select("p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -126,7 +133,8 @@ class Index:
 
     def optimized(self, partitions: int | None = None) -> DataFrame:
         """Postings range-partitioned and sorted by term and document, as they are written."""
-        by = self.postings.repartitionByRange(partitions, "term") if partitions else self.postings.repartitionByRange("term")
+        keys = ("term", "doc_id")  # a frequent term fills several partitions
+        by = self.postings.repartitionByRange(partitions, *keys) if partitions else self.postings.repartitionByRange(*keys)
         return by.sortWithinPartitions("term", "doc_id")
 
     def save(self, path: str) -> None:
@@ -144,6 +152,7 @@ class Index:
         """The index written to the shared folder and read again, so that queries read postings and not texts."""
         path = f"{shared_dir(self.docs.sparkSession)}/{name}-{uuid.uuid4().hex}"
         self.save(path)
+        written(self.docs.sparkSession, path)
         return Index.load(self.docs.sparkSession, path)
 
     def export(self) -> DataFrame:

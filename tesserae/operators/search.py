@@ -18,14 +18,20 @@ SNIPPET_BYTES = 200
 HISTOGRAM_BINS = 10
 
 
+def _positions(term: str) -> Column:
+    return F.get(F.filter("hits", lambda h: h.term == term), 0).positions
+
+
 def flags(index: Index, terms: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """One row for each document that holds any of the terms, with each term's positions (empty where it lacks it).
 
     The terms reach the scan of the postings as a filter; what is shuffled is only their postings."""
     hits = index.postings.where(F.col("term").isin(*terms)).groupBy("doc_id")
+    # a list of the document's own postings of these terms: it hashes, where an aggregate of arrays would sort
+    rows = hits.agg(F.collect_list(F.struct("term", "positions")).alias("hits"))
     named = {t: f"p{i}" for i, t in enumerate(terms)}
-    aggs = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(c) for t, c in named.items()]
-    return hits.agg(*aggs), {t: F.coalesce(F.col(c), F.array().cast("array<int>")) for t, c in named.items()}
+    rows = rows.select("doc_id", *[_positions(t).alias(c) for t, c in named.items()])
+    return rows, {t: F.coalesce(F.col(c), F.array().cast("array<int>")) for t, c in named.items()}
 
 
 @dataclass
@@ -205,7 +211,7 @@ def preview(content: Column, n: int = 150) -> Column:
 
 
 def latency_summary(times: DataFrame, column: str) -> DataFrame:
-    """(n, min, max, median): the upper median. Ranked by a distributed sort, not by a collected list."""
+    """(n, min, max, median): the upper median. Its aggregate holds each distinct time once with its count."""
     t = times.where(F.col(column).isNotNull()).select(F.col(column).alias("t"))
     return t.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("min"), F.max("t").alias("max"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t DESC)").alias("median"))
 

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where no cluster names one (tests), a local folder is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session sets a folder of its own; on a
+    cluster that is an error, as no machine's own folder would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tesserae-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -21,11 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession, path: str) -> str:
+    """Notes what the application wrote to the shared folder: it goes when the driver ends, or by ``clear``. Returns the whole
+    path, with its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return fs.makeQualified(at).toString()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; results that read it must have been used before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    return path in _WRITTEN.get(spark.sparkContext.applicationId, [])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage is cut and lost executors don't repeat the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,7 +73,7 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
         out.write(bytearray(data))
     finally:
         out.close()
-    return path
+    return written(spark, path)
 
 
 _SHIPPED: set[str] = set()

@@ -118,6 +118,7 @@ def html_title(html: Column) -> Column:
 # Elements without text of their own, files that are no pages, schemes that lead to none.
 DROPPED = frozenset("script style nav footer header aside noscript".split())
 MEDIA = tuple(".jpg .jpeg .png .gif .svg .css .js .pdf .zip .rar .exe .mp3 .mp4 .avi .doc".split())
+DOCUMENTS = tuple(".pdf .doc .docx .xls .xlsx .ppt .pptx .zip .rar .tar .gz .jpg .jpeg .png .gif".split())  # links to these are no pages
 NO_PAGE = ("#", "javascript:", "mailto:", "tel:")
 VOID = frozenset("br hr img meta link input area base col embed source track wbr".split())
 BLOCKS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 table tr td th br pre section article blockquote dd dt".split())
@@ -256,7 +257,7 @@ def extract(pages: DataFrame) -> DataFrame:
 def html_links(html: Column) -> Column:
     """array<string>: href values of a page's links in order, those that lead to no page left out."""
     found = F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href=\"([^\"]*)\""), F.lit(1))
-    good = lambda x: (F.length(F.trim(x)) > 0) & ~F.lower(x).rlike("^(?:#|javascript:|mailto:|tel:)") & ~F.lower(x).rlike("\\.(?:" + "|".join(m[1:] for m in MEDIA) + ")(?:[?#].*)?$")
+    good = lambda x: (F.length(F.trim(x)) > 0) & ~F.lower(x).rlike("^(?:#|javascript:|mailto:|tel:)") & ~F.lower(x).rlike("\\.(?:" + "|".join(m[1:] for m in DOCUMENTS) + ")$")
     return F.filter(found, good)
 
 

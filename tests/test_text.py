@@ -101,9 +101,9 @@ def test_russian_stems(spark):
     pairs = {
         "студенты": "студент", "СтУдЕнТы": "студент", "книгами": "книг", "красивая": "красив", "красивейший": "красив", "важнейшими": "важн", "читающий": "чита",
         "читала": "чита", "вышедши": "вышедш", "бегавшие": "бега", "он": "он", "а": "а", "": "", "hello": "hello", "word123": "word123", "ёлка": "елк",
-        "надёжность": "надежн", "длинный": "длин", "радость": "радост", "учиться": "учи", "сделав": "сдела", "территория": "территор",
+        "надёжность": "надежн", "длинный": "длин", "радость": "радост", "учиться": "уч", "сделав": "сдела", "территория": "территор",
     }
     df = spark.createDataFrame([(w,) for w in pairs], "word string")
     got = {r[0]: r[1] for r in df.select("word", stem.stem_russian(F.col("word"))).collect()}
     wrong = {w: (got[w], s) for w, s in pairs.items() if got[w] != s}
-    assert len(wrong) <= 3, wrong
+    assert not wrong
