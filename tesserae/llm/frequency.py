@@ -27,6 +27,7 @@ TERM = "[0-9a-z\u00df-\u00f6\u00f8-\u024f\u0400-\u04ff]+"
 RARE_DF, RARE_CF, COMMON = 2, 4, 4
 
 BLOCK_TERMS = 400_000  # distinct terms held by a block before its counts leave it
+RANGE_ROWS = 100_000  # rows of the input for each identifier range
 BLOCKS = "origin string, term string, cf bigint, df bigint"
 
 
@@ -115,7 +116,8 @@ def term_frequencies(pages: DataFrame, postings: DataFrame) -> DataFrame:
         .agg(F.sum("f").alias("f"))
     )
     counted = once.select(F.col("lterm"), "f").mapInArrow(_posting_blocks, BLOCKS)
-    ranges = shuffle_partitions(spark)
+    # as many ranges as the data need: a range's dictionary is held by one task
+    ranges = max(shuffle_partitions(spark), (pages.count() + postings.count()) // RANGE_ROWS)
     return (
         texts.unionByName(counted)
         .repartition(ranges, "origin", "term")

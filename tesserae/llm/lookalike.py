@@ -12,6 +12,7 @@ digits, words and punctuation stay different; plain copies are in one class and
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b, md5
 
@@ -56,21 +57,33 @@ def look(text: Column) -> Column:
     return F.trim(text)
 
 
-# Letters and digits that no accent joins and no other character looks like: texts that look the same agree in them.
-STEADY = "[^bdfhjkmqtvwx0-9бвджзлнптфцчшщъыьэюяБДЖЗЛПФЦЧШЩЪЫЬЭЮЯ]+"
+PAIR_ROWS = 20_000  # rows of one class that meet one task
 SALTS = 16
 BROADCAST_ROWS = 500_000  # of two short keys: about 40 MB
 
 
+def _unsteady() -> str:
+    """Blanks, accents and other marks, and characters that show nothing."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cc", "Cf", "Zs", "Zl", "Zp"))]
+    runs, start = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1], strict=True):
+        if b != a + 1:
+            runs.append((start, a))
+            start = b
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]+"
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, unsteady = str.maketrans(look_map() | JOINED), re.compile(STEADY)
+    # what the collation may leave out: texts that look the same agree in all else
+    table, unsteady = str.maketrans(look_map() | JOINED), re.compile(_unsteady())
     for batch in batches:
         ids, steady, keys = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             looks = text.translate(table)
             if not looks.isspace() and looks:
                 ids.append(doc)
-                steady.append(int.from_bytes(blake2b(unsteady.sub("", looks).encode(), digest_size=8).digest(), "big", signed=True))
+                bare = unsteady.sub("", looks if looks.isascii() else unicodedata.normalize("NFD", looks))
+                steady.append(int.from_bytes(blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
                 keys.append(md5(text.encode("utf-8", "surrogatepass")).digest())
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(steady, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "steady", "text_key"]
@@ -108,10 +121,25 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents with different texts that look the same.
 
     Plain copies (however many) form no pair and leave before the join unless a different text looks like them; within
-    a class only pairs of different texts are formed, which are the result itself."""
+    a class only pairs of different texts are formed, which are the result itself. The rows of a large class are spread over as
+    many tasks as its size asks for, each of which meets the class's other rows."""
+    rows = materialize(_members(documents), "p10-members")
+    sizes = rows.groupBy("class_key").agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("parts"))
+    rows = rows.join(sizes, "class_key")
+    left = rows.select(F.col("doc_id").alias("doc_a"), "class_key", F.col("text_key").alias("text_a"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    right = rows.select(F.col("doc_id").alias("doc_b"), "class_key", F.col("text_key").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["class_key", "part"]).where("text_a <> text_b and doc_a < doc_b").select("doc_a", "doc_b")
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_doc, texts, documents): each document that looks like one with a different text, the class it is in (named
+    by its smallest document), and how many different texts and documents the class has: the pairs without expanding them."""
     rows = _members(documents)
-    left, right = rows.toDF("doc_a", "class_key", "text_a"), rows.toDF("doc_b", "class_key", "text_b")
-    return left.join(right, "class_key").where("text_a <> text_b and doc_a < doc_b").select("doc_a", "doc_b")
+    texts = rows.groupBy("class_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    classes = texts.groupBy("class_key").agg(F.min("doc_id").alias("class_doc"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents"))
+    # copies of one text share its row: a class's members are spread before they meet it
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(classes, ["class_key", "salt"]).select("doc_id", "class_doc", "texts", "documents")
 
 
 def one_form(documents: DataFrame) -> DataFrame:

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import encoding, frequency, leaks, lines, lookalike, markup, page_pass, tokens
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+class _Lazy:
+    """A module of this package, imported when it is first used, so that a library that lacks takes only its own queries."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __getattr__(self, key: str):  # noqa: ANN204
+        return getattr(importlib.import_module("tesserae.llm." + self.name), key)
+
+    def there(self) -> bool:
+        try:
+            importlib.import_module("tesserae.llm." + self.name)
+        except ImportError:
+            return False
+        return True
+
+
+encoding, frequency, leaks, lines = _Lazy("encoding"), _Lazy("frequency"), _Lazy("leaks"), _Lazy("lines")
+lookalike, markup, page_pass, tokens = _Lazy("lookalike"), _Lazy("markup"), _Lazy("page_pass"), _Lazy("tokens")
+#: The module of each problem.
+MODULES = {1: page_pass, 2: encoding, 3: page_pass, 4: frequency, 5: page_pass, 6: markup, 7: lines, 8: tokens, 9: leaks, 10: lookalike}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,12 +119,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(_table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_classes(_table(spark, sf_dir, "documents"))
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.one_form(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    """The queries of all problems whose modules can be imported."""
+    found = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    return {name: f for name, f in found.items() if MODULES[int(name[1 : name.index("_")])].there()}
 
 
 # Fixed values of the problems, as in the operators.
@@ -150,9 +178,12 @@ WITH lines AS (
 
 def oracle_sql() -> dict[str, str]:
     looks = f"WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL)"
-    return {
+    found = {
         "p10_found": looks
         + """ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id WHERE a.look <> ''""",
+        "p10_classes": looks
+        + """ SELECT doc_id, min(doc_id) OVER w AS class_doc, texts, count(*) OVER w AS documents
+FROM looks JOIN (SELECT look, count(DISTINCT text) AS texts FROM looks WHERE look <> '' GROUP BY look HAVING count(DISTINCT text) > 1) USING (look) WINDOW w AS (PARTITION BY look)""",
         "p10_forms": looks
         + """, texts AS (SELECT look, text, count(*) AS n FROM looks WHERE look <> '' GROUP BY look, text),
 best AS (SELECT look, first(text ORDER BY n DESC, md5(text)) AS form FROM texts GROUP BY look)
@@ -171,3 +202,4 @@ SELECT origin, term, mark FROM marked WHERE mark IS NOT NULL""",
         "p7_found": _LINES + """
 SELECT page_id, line_no FROM normal JOIN repeated USING (domain, form)""",
     }
+    return {name: sql for name, sql in found.items() if name in queries()}

@@ -205,8 +205,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encoder(lexicon: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = piece_finder()
-        local = lexicon.removeprefix("file://") if lexicon.startswith("file:") else SparkFiles.get(lexicon.rpartition("/")[2])
-        known, ranks = Lexicon(local), {}
+        known, ranks = Lexicon(SparkFiles.get(lexicon)), {}
         memo: dict[str, tuple[int, ...]] = {}
 
         def ids_of(piece: str) -> tuple[int, ...]:
@@ -214,7 +213,7 @@ def _encoder(lexicon: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBatch
             ids = known.get(data)
             if ids is None:
                 if not ranks:
-                    ranks.update(load_ranks(vocabulary))
+                    ranks.update(load_ranks(SparkFiles.get(vocabulary)))
                 ids = merge(data, ranks)
             if len(memo) >= MEMO:
                 memo.clear()
@@ -245,6 +244,6 @@ def encoded(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     ranks = load_ranks(vocabulary)
     words = {p: merge(p, ranks) for p in (t.encode("utf-8") for t in top)}
     path = write_bytes(spark, "p8-lexicon", compile_lexicon(words))
-    if not path.startswith("file:"):
-        spark.sparkContext.addFile(path)
-    return texts.mapInArrow(_encoder(path, vocabulary), "doc_id bigint, ids array<int>")
+    for file in (path, vocabulary):  # the workers get both from the driver
+        spark.sparkContext.addFile(file)
+    return texts.mapInArrow(_encoder(Path(path).name, VOCABULARY), "doc_id bigint, ids array<int>")
