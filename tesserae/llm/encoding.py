@@ -37,6 +37,7 @@ DICTIONARY_BYTES = 24_576
 LOST_BITS = 16  # of a character that can't be restored, or that no text has
 COST_PAGES = 1_000  # of the sample, on which costs are learned
 TRIGRAM_BITS, UNSEEN = 19, 15.0
+LINES = 256  # described at once
 MEMO = 40_000  # words whose trigram lengths are remembered
 
 # Charsets, and the steps from the one a text was read as to the one it was written in.
@@ -307,7 +308,7 @@ class Repairer:
             self._learn(new)
         at = np.array([self.words[w] for words in split for w in words])
         starts = np.concatenate([[0], np.cumsum([len(words) for words in split])[:-1]])
-        best = np.add.reduceat(self.table[at], starts, axis=0).min(2)
+        best = np.add.reduceat(self.table.reshape(len(self.table), -1)[at], starts, axis=0).reshape(len(lines), -1, len(LANGUAGES)).min(2)
         return best[:, :1] - best[:, 1:]
 
     def candidates(self, line: str, steps: list[Step]) -> dict[str, tuple[tuple[Step, ...], int]]:
@@ -344,18 +345,27 @@ class Repairer:
     def fields(self, texts: list[tuple[str, str | None]]) -> list[dict[int, tuple[str, tuple[Step, ...]]]]:
         """The garbled lines of each (text, declared charset)."""
         split = [[] if text.isascii() else text.split("\n") for text, _ in texts]
-        places = [(f, i) for f, lines in enumerate(split) for i, line in enumerate(lines) if not line.isascii()]
+        places: dict[str, list[tuple[int, int]]] = {}
+        for f, lines in enumerate(split):
+            for i, line in enumerate(lines):
+                if not line.isascii():
+                    places.setdefault(line, []).append((f, i))
         out: list[dict[int, tuple[str, tuple[Step, ...]]]] = [{} for _ in texts]
-        for lo in range(0, len(places), 4_000):
-            part = places[lo : lo + 4_000]
-            gains = self.gains([split[f][i] for f, i in part])
-            worth = gains >= self.least
+        distinct = list(places)
+        for lo in range(0, len(distinct), LINES):
+            part = distinct[lo : lo + LINES]
+            worth = self.gains(part) >= self.least
             for at in np.flatnonzero(worth.any(1)).tolist():
-                f, i = part[at]
                 steps = [ALL_STEPS[k] for k in np.flatnonzero(worth[at])]
-                done, chain = self.best(split[f][i], steps, charset(texts[f][1]))
-                if chain and self._outside(split[f][i], chain):
-                    out[f][i] = done, chain
+                known: dict[str | None, tuple[str, tuple[Step, ...]]] = {}
+                for f, i in places[part[at]]:
+                    name = charset(texts[f][1])
+                    if name not in known:
+                        known[name] = self.best(part[at], steps, name)
+                        if known[name][1] and not self._outside(part[at], known[name][1]):
+                            known[name] = part[at], ()
+                    if known[name][1]:
+                        out[f][i] = known[name]
         for f, found in enumerate(out):
             if found:
                 self._again(split[f], found)

@@ -101,7 +101,8 @@ def decode(weights: np.ndarray, seen: np.ndarray, grams: np.ndarray, owner: np.n
         margins[owner[starts]] = np.add.reduceat(weights[grams], starts, axis=0)
     margins *= 4 / np.maximum(1, size)[:, None]
     strength = np.abs(margins)
-    losses = (np.logaddexp(0, -CODEWORDS[None] * margins[:, None]) * strength[:, None]).sum(2)
+    # the loss of a bit that says yes is that of one that says no less its margin, so one sum serves all codewords
+    losses = (np.logaddexp(0, margins) * strength).sum(1)[:, None] - (margins * strength) @ (CODEWORDS > 0).T.astype(np.float32)
     losses[:, ~seen] = np.inf
     best = losses.argmin(1)
     first = losses[np.arange(n), best]
