@@ -216,32 +216,46 @@ class Judge:
 
     def share(self, text: str, links: int = 0) -> float:
         """The part of the text's characters that lies in spam blocks; ``links``: how many links to other sites the page has."""
-        lines = [x for x in map(str.strip, text.split("\n")) if x]
-        total = sum(map(len, lines))
-        open_: dict[str, list[str]] = {"short": [], "ended": []}
-        spam = 0.0
-        linked = 0 < sum(x.count(" ") < LONG_LINE for x in lines) <= links
-
-        def close() -> float:
-            n = 0.0
-            for kind, block in open_.items():
-                if block:
-                    n += sum(map(len, block)) * self.block(block, kind, linked)
-                    block.clear()
-            return n
-
-        for line in lines:
-            if CODE_HINT.search(line) and CODE_LINE.search(without_links(line)):
-                continue
-            if line.count(" ") >= LONG_LINE:
-                spam += close() + len(line) * self.block([line], "long")
-            else:
-                open_["ended" if ENDED.search(line) else "short"].append(line)
-        spam += close()
+        total, found, linked = blocks(text, links)
+        spam = sum(n * self.block(lines, kind, linked) for n, kind, lines in found)
         return spam / total if total else 0.0
 
     def spam(self, text: str, links: int = 0) -> bool:
-        return self.share(text, links) >= SHARE
+        """Whether the share is SHARE or more. The largest blocks are judged first, the others only while they can matter."""
+        total, found, linked = blocks(text, links)
+        left, spam = sum(n for n, _, _ in found), 0.0
+        for n, kind, lines in sorted(found, key=lambda b: -b[0]):
+            if spam >= SHARE * total or spam + left < SHARE * total:
+                break
+            spam += n * self.block(lines, kind, linked)
+            left -= n
+        return total > 0 and spam >= SHARE * total
+
+
+def blocks(text: str, links: int) -> tuple[int, list[tuple[int, str, list[str]]], bool]:
+    """The characters of the text, its blocks (characters, kind, lines) without code, and whether its short lines are as many as
+    its links to other sites."""
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    open_: dict[str, list[str]] = {"short": [], "ended": []}
+    out: list[tuple[int, str, list[str]]] = []
+
+    def close() -> None:
+        for kind, block in open_.items():
+            if block:
+                out.append((sum(map(len, block)), kind, block))
+                open_[kind] = []
+
+    for line in lines:
+        if CODE_HINT.search(line) and CODE_LINE.search(without_links(line)):
+            continue
+        if line.count(" ") >= LONG_LINE:
+            close()
+            out.append((len(line), "long", [line]))
+        else:
+            open_["ended" if ENDED.search(line) else "short"].append(line)
+    close()
+    linked = 0 < sum(x.count(" ") < LONG_LINE for x in lines) <= links
+    return sum(map(len, lines)), out, linked
 
 
 def links_out(links: list[str | None] | None, domain: str | None) -> int:
