@@ -38,6 +38,7 @@ LOST_BITS = 16  # of a character that can't be restored, or that no text has
 COST_PAGES = 1_000  # of the sample, on which costs are learned
 TRIGRAM_BITS, UNSEEN = 19, 15.0
 LINES = 256  # described at once
+LONG = 500  # words of a line from which rounding may matter
 MEMO = 40_000  # words whose trigram lengths are remembered
 
 # Charsets, and the steps from the one a text was read as to the one it was written in.
@@ -258,6 +259,7 @@ class Repairer:
         self.least = np.array([min(self.costs[step, same] for same in (False, True)) for step in ALL_STEPS], np.float32)
         self.words: dict[str, int] = {}
         self.table = np.zeros((1024, len(ALL_STEPS) + 1, len(LANGUAGES)), np.float32)
+        self.most = np.zeros((1024, len(ALL_STEPS)), np.float32)  # what each step gains at most, in any language
 
     def length(self, text: str) -> int:
         """Bits of the text with the best dictionary."""
@@ -276,6 +278,7 @@ class Repairer:
         n = len(self.words)
         while n + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.most = np.concatenate([self.most, np.zeros_like(self.most)])
         part = self.table[n : n + len(words)]
         codes, starts = _codes(words)
         own = self._sums(codes, starts)
@@ -296,10 +299,11 @@ class Repairer:
         if texts:
             i, k = np.array(places).T
             part[i, k] = self._sums(*_codes(texts))
+        self.most[n : n + len(words)] = (part[:, :1] - part[:, 1:]).max(2)
         self.words.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def gains(self, lines: list[str]) -> np.ndarray:
-        """For each line and step, the bits by which the trigrams of what the step gives are shorter."""
+    def _places(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tables have the lines' words outside ASCII, and where each line's begin."""
         split = [[w for w in line.split(" ") if not w.isascii()] for line in lines]
         if len(self.words) > MEMO:
             self.words.clear()
@@ -307,10 +311,25 @@ class Repairer:
         if new:
             self._learn(new)
         at = np.array([self.words[w] for words in split for w in words])
-        starts = np.concatenate([[0], np.cumsum([len(words) for words in split])[:-1]])
+        return at, np.concatenate([[0], np.cumsum([len(words) for words in split])[:-1]])
+
+    def gains(self, lines: list[str]) -> np.ndarray:
+        """For each line and step, the bits by which the trigrams of what the step gives are shorter."""
+        at, starts = self._places(lines)
         best = np.add.reduceat(self.table.reshape(len(self.table), -1)[at], starts, axis=0).reshape(len(lines), -1, len(LANGUAGES)).min(2)
         return best[:, :1] - best[:, 1:]
 
+    def worth(self, lines: list[str]) -> np.ndarray:
+        """For each line and step, whether it gains what it costs at least. A line gains no more than its words do, each in the
+        language where it gains most; where even that is too little, nothing else is summed."""
+        at, starts = self._places(lines)
+        out = np.add.reduceat(self.most[at], starts, axis=0) >= self.least - 1  # a bit for what rounding may take
+        out[np.diff(np.append(starts, len(at))) > LONG] = True
+        likely = np.flatnonzero(out.any(1))
+        if len(likely):
+            out[likely] = self.gains([lines[i] for i in likely]) >= self.least
+        return out
+
     def candidates(self, line: str, steps: list[Step]) -> dict[str, tuple[tuple[Step, ...], int]]:
         """Every text that undoing a chain gives, with the chain and the characters it lost; ``steps``: the first ones to try."""
         out: dict[str, tuple[tuple[Step, ...], int]] = {}
@@ -354,7 +373,7 @@ class Repairer:
         distinct = list(places)
         for lo in range(0, len(distinct), LINES):
             part = distinct[lo : lo + LINES]
-            worth = self.gains(part) >= self.least
+            worth = self.worth(part)
             for at in np.flatnonzero(worth.any(1)).tolist():
                 steps = [ALL_STEPS[k] for k in np.flatnonzero(worth[at])]
                 known: dict[str | None, tuple[str, tuple[Step, ...]]] = {}

@@ -28,8 +28,8 @@ class Models:
             self.detector = language.fit(texts)
 
 
-def _pass(models: Models, schema: pa.Schema, per_page: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """per_page(row, restored text, tools) gives rows of the result; pages that are spam are given only to judge."""
+def _pass(models: Models, schema: pa.Schema, per_pages: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """per_pages(rows, restored texts, tools) gives rows of the result; pages that are spam are given only to judge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = {
@@ -45,15 +45,24 @@ def _pass(models: Models, schema: pa.Schema, per_page: Callable) -> Callable[[It
                 texts = [(row["content"], row["encoding"]) for row in rows]
                 if tools["repairer"]:
                     texts = tools["repairer"].texts(texts)
-                for row, (restored, _) in zip(rows, texts, strict=True):
-                    for out in per_page(row, restored, tools):
-                        for name, value in zip(schema.names, out, strict=True):
-                            columns[name].append(value)
+                for out in per_pages(rows, [restored for restored, _ in texts], tools):
+                    for name, value in zip(schema.names, out, strict=True):
+                        columns[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
 
+def _each(per_page: Callable) -> Callable:
+    """Page by page: per_page(row, restored text, tools)."""
+
+    def run(rows: list[dict], texts: list[str], tools: dict) -> Iterator[tuple]:
+        for row, restored in zip(rows, texts, strict=True):
+            yield from per_page(row, restored, tools)
+
+    return run
+
+
 _SPAM = pa.schema([("page_id", pa.int64()), ("share", pa.float64())])
 _LINES = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("body", pa.bool_())])
 _BODY = pa.schema([("page_id", pa.int64()), ("body", pa.string())])
@@ -80,33 +89,39 @@ def _text(row: dict, restored: str, tools: dict) -> list[tuple]:
     return [] if lines is None else [(row["page_id"], "\n".join(x for _, x, keep in lines if keep))]
 
 
-def _segments(row: dict, restored: str, tools: dict) -> list[tuple[str, float, str]]:
-    lines = _body(row, restored, tools) if tools["detector"] else None
-    return tools["detector"].segments([x for _, x, keep in lines if keep]) if lines else []
+def _segments(rows: list[dict], texts: list[str], tools: dict) -> list[list[tuple[str, float, str]]]:
+    """The segments of each page; their words are described once for all pages given."""
+    if not tools["detector"]:
+        return [[] for _ in rows]
+    bodies = [_body(row, restored, tools) or () for row, restored in zip(rows, texts, strict=True)]
+    return tools["detector"].pages([[x for _, x, keep in lines if keep] for lines in bodies])
 
 
-def _languages(row: dict, restored: str, tools: dict) -> list[tuple]:
-    chars: dict[str, int] = defaultdict(int)
-    sure: dict[str, float] = defaultdict(float)
-    for lang, confidence, text in _segments(row, restored, tools):
-        chars[lang] += len(text)
-        sure[lang] += confidence * len(text)
-    large = sum(n >= MIN_LANGUAGE_CHARS for n in chars.values())
-    return [(row["page_id"], x, chars[x], sure[x] / chars[x], row["label"], large) for x in sorted(chars)]
+def _languages(rows: list[dict], texts: list[str], tools: dict) -> Iterator[tuple]:
+    for row, found in zip(rows, _segments(rows, texts, tools), strict=True):
+        chars: dict[str, int] = defaultdict(int)
+        sure: dict[str, float] = defaultdict(float)
+        for lang, confidence, text in found:
+            chars[lang] += len(text)
+            sure[lang] += confidence * len(text)
+        large = sum(n >= MIN_LANGUAGE_CHARS for n in chars.values())
+        for x in sorted(chars):
+            yield row["page_id"], x, chars[x], sure[x] / chars[x], row["label"], large
 
 
-def _segment_rows(row: dict, restored: str, tools: dict) -> list[tuple]:
-    found = _segments(row, restored, tools)
-    return [(row["page_id"], i, lang, sure, sure < language.AMBIGUOUS, text) for i, (lang, sure, text) in enumerate(found, 1)]
+def _segment_rows(rows: list[dict], texts: list[str], tools: dict) -> Iterator[tuple]:
+    for row, found in zip(rows, _segments(rows, texts, tools), strict=True):
+        for i, (lang, sure, text) in enumerate(found, 1):
+            yield row["page_id"], i, lang, sure, sure < language.AMBIGUOUS, text
 
 
-def _run(pages: DataFrame, models: Models, schema: pa.Schema, per_page: Callable, ddl: str, *columns: str) -> DataFrame:
-    return pages.where("content is not null").select("page_id", "content", "encoding", "domain", "links", *columns).mapInArrow(_pass(models, schema, per_page), ddl)
+def _run(pages: DataFrame, models: Models, schema: pa.Schema, per_pages: Callable, ddl: str, *columns: str) -> DataFrame:
+    return pages.where("content is not null").select("page_id", "content", "encoding", "domain", "links", *columns).mapInArrow(_pass(models, schema, per_pages), ddl)
 
 
 def spam_shares(pages: DataFrame) -> DataFrame:
     """(page_id, share) of every page with visible content: the share of its characters in spam blocks."""
-    return _run(pages, Models(pages), _SPAM, _share, "page_id bigint, share double")
+    return _run(pages, Models(pages), _SPAM, _each(_share), "page_id bigint, share double")
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:
@@ -116,12 +131,12 @@ def spam_pages(pages: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, body) of every non-empty line of the pages that aren't spam."""
-    return _run(pages, Models(pages, lines=True), _LINES, _lines, "page_id bigint, line_no int, body boolean", "html_content")
+    return _run(pages, Models(pages, lines=True), _LINES, _each(_lines), "page_id bigint, line_no int, body boolean", "html_content")
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
     """(page_id, body): the body's lines of every page that isn't spam, restored where they were garbled."""
-    return _run(pages, Models(pages, lines=True), _BODY, _text, "page_id bigint, body string", "html_content")
+    return _run(pages, Models(pages, lines=True), _BODY, _each(_text), "page_id bigint, body string", "html_content")
 
 
 def _labelled(pages: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +53,78 @@ CODE_LINE = re.compile(
     CODE.pattern + r"|\w\([^()]*\)|\w\[\w|[{}]\s*$|\s(?:[-+*/%&|<>=!]?=|->|&&|\|\|)\s|\w::\w|^\s*(?:return|else|try|break|continue|pass|end|fi|done)\b[^.,]{0,40}$", re.I
 )
 WORD_BLOCK = 300_000
+CUT_CHARS = 100_000  # of texts cut together
 PIECE = 8  # words of a piece, on average
 
 
+_LETTER, _DIGIT, _END = 1, 2, 3
+
+
+def _kinds(chars: str) -> np.ndarray:
+    """For each character whether it is a word's letter, a digit, a line's end or none of these (0)."""
+    kinds = np.zeros(len(chars), np.uint8)
+    for kind, shape in ((_LETTER, LETTERS), (_DIGIT, DIGITS), (_END, re.compile("\n"))):
+        for m in shape.finditer(chars):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+_KINDS = _kinds("".join(map(chr, range(1 << 16))))
+
+
+def words_of_lines(text: str) -> tuple[list[str], np.ndarray]:
+    """What WORDS finds, numbers as 0, and before which of these words another line begins; told by tables, as the text is the
+    whole corpus."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS[np.minimum(codes, 0xFFFF)]
+    for code in np.unique(codes[codes > 0xFFFF]).tolist():
+        kinds[codes == code] = _kinds(chr(code))[0]
+    before = np.concatenate([kinds[:0], [0], kinds[:-1]])[: len(kinds)]
+    words = ((kinds == _LETTER) | (kinds == _DIGIT)) & (kinds != before)
+    codes = np.where(kinds == _LETTER, codes, np.where(kinds == _DIGIT, np.uint32(48), np.uint32(32)))
+    lines = np.cumsum(words, dtype=np.int32)[kinds == _END]
+    # a number is its first digit, and a word that begins right after another one gets a blank before it
+    kept = words | (kinds != _DIGIT)
+    beside = (words & (before != 0) & (before != _END))[kept]
+    found = np.insert(codes[kept], np.flatnonzero(beside), 32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+    lines = np.unique(lines)
+    return found, lines[(lines > 0) & (lines < len(found))]
+
+
 def pieces(text: str, memo: dict[str, int]) -> Iterator[str]:
     """The lines' words in pieces that end after some neighbours, chosen by a hash of the two: equal runs of words have equal
     pieces in any line, whatever their numbers are (one class). A piece that goes on from another begins with a blank and that
     one's last word, so every neighbour is in one."""
-    for line in DIGITS.sub("0", without_links(text)).split("\n"):
-        found = WORDS.findall(line)
-        if not found:
-            continue
-        if len(memo) > WORD_BLOCK:
-            memo.clear()
-        hashes = list(map(memo.get, found))
-        if None in hashes:
-            hashes = [memo.setdefault(w, zlib.crc32(w.encode())) for w in found]
-        start, mark = 0, ""
-        for i in range(1, len(found) - 1):
-            if (hashes[i - 1] * 31 + hashes[i]) % 0xFFFFFFFB % PIECE == 0:
-                yield mark + " ".join(found[start : i + 1])
-                start, mark = i, " "
-        yield mark + " ".join(found[start:])
+    found, lines = words_of_lines(without_links(text))
+    if len(memo) > WORD_BLOCK:
+        memo.clear()
+    h = np.array(list(map(memo.get, found)), np.float64)  # all of them are exact; new words have none yet
+    for i in np.flatnonzero(np.isnan(h)).tolist():
+        h[i] = memo[found[i]] = zlib.crc32(found[i].encode())
+    h = h.astype(np.int64)
+    cut = (h[:-1] * 31 + h[1:]) % 0xFFFFFFFB % PIECE == 0  # at i: after word i + 1, unless that is a line's first or last one
+    cut[lines - 1] = False
+    cut[lines[lines > 1] - 2] = False
+    cuts = np.flatnonzero(cut[:-1]) + 1
+    stops = np.concatenate([cuts, lines, [len(found)] if found else cuts[:0]])
+    order = stops.argsort(kind="stable")
+    start, mark = 0, ""
+    for stop, inside in zip(stops[order].tolist(), (order < len(cuts)).tolist(), strict=True):
+        yield mark + " ".join(found[start : stop + inside])
+        start, mark = stop, " " if inside else ""
+
+
+def joined(texts: list[str]) -> Iterator[str]:
+    """The texts one below the other, about CUT_CHARS characters at a time."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text)
+        if n >= CUT_CHARS:
+            yield "\n".join(part)
+            part, n = [], 0
+    if part:
+        yield "\n".join(part)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +135,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["piece"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in joined(batch.column(0).to_pylist()):  # a piece lies in one line, so texts can be cut together
             seen.update(dict.fromkeys(pieces(text, memo)))
             if len(seen) > WORD_BLOCK:
                 yield rows()
@@ -92,6 +143,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _words(found: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces' words, encoded, and where each piece's begin (one more offset than pieces); a piece that begins with a blank
+    has an empty word first."""
+    split = pc.split_pattern(found, " ")
+    offsets = split.offsets.to_numpy()
+    return split.flatten().dictionary_encode(), offsets - offsets[0]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -99,9 +158,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        # the word that a piece repeats was counted in the piece before
-        texts = [x[x.index(" ", 1) :] if x[0] == " " else x for x in batch.column(0).to_pylist()]
-        counts.update(LETTERS.findall("\n".join(texts).lower()))
+        if batch.num_rows:
+            words, offsets = _words(batch.column(0))
+            at, known = words.indices.to_numpy(), words.dictionary.to_pylist()
+            # the word that a piece repeats was counted in the piece before
+            starts = offsets[:-1]
+            again = starts[at[starts] == known.index("")] + 1 if "" in known else starts[:0]
+            n = np.bincount(at, minlength=len(known)) - np.bincount(at[again], minlength=len(known))
+            for word, times in zip(known, n.tolist(), strict=True):
+                if times:
+                    for x in LETTERS.findall(word.lower()):
+                        counts[x] += times
         if len(counts) > WORD_BLOCK:
             yield rows()
             counts.clear()
@@ -138,7 +205,9 @@ class Coder:
         return code
 
     def codes(self, text: str) -> np.ndarray:
-        found = WORDS.findall(text)
+        return self.classes(WORDS.findall(text))
+
+    def classes(self, found: list[str]) -> np.ndarray:
         codes = list(map(self.memo.get, found))
         if None in codes:
             codes = [self._class(w) if c is None else c for w, c in zip(found, codes, strict=True)]
@@ -149,11 +218,16 @@ def _count_neighbours(top: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table = Coder(top), np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if texts:
-                c = coder.codes("\n".join(texts))
-                ends = np.cumsum([x.count(" ") + (x[0] != " ") for x in texts])[:-1]
-                table += np.bincount(np.delete(c[:-1] * CLASSES + c[1:], ends - 1), minlength=len(table))
+            if batch.num_rows:
+                words, offsets = _words(batch.column(0))
+                known = words.dictionary.to_pylist()
+                blank = known.index("") if "" in known else -1
+                at = words.indices.to_numpy()
+                c = coder.classes([w or "0" for w in known])[at]
+                apart = np.zeros(len(c), bool)
+                apart[offsets[1:-1] - 1] = True
+                apart |= at == blank
+                table += np.bincount((c[:-1] * CLASSES + c[1:])[~apart[:-1]], minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["cell", "n"])
 
